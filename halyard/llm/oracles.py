@@ -16,10 +16,23 @@ WITH RECURSIVE w AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), e AS (
   SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
-), both AS (
+), ends AS (
   SELECT a, b FROM e UNION SELECT b, a FROM e
 ), r AS (
-  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, both.b FROM r JOIN both ON r.b = both.a
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, ends.b FROM r JOIN ends ON r.b = ends.a
 )
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    # Base32 of the SHA-1: groups of five bits of its 160, as letters.
+    "op10_warc_archive": """
+WITH d AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), b AS (
+  SELECT page_id, h, n, array_to_string(list_transform(list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', h[i]) - 1), lambda v: substr(bin(v + 16), 2, 4)), '') AS bits FROM d
+), p AS (
+  SELECT page_id, n, max(page_id) OVER (PARTITION BY h, n) AS last,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + CAST(list_sum(list_transform(range(1, 6), lambda j: CASE WHEN bits[5 * k + j] = '1' THEN [16, 8, 4, 2, 1][j] ELSE 0 END)) AS INTEGER), 1)), '') AS digest FROM b
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p""",
 }

@@ -24,3 +24,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.near_dedup import near_duplicates
 
     return near_duplicates(_documents(spark, sf_dir), words=3, percent=85)
+
+
+@query
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.warc import archive
+
+    return archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
