@@ -31,3 +31,17 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.warc import archive
 
     return archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+
+
+@query
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.mtree import exact_topk
+
+    return exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100)
+
+
+@query
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.multi_index import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
