@@ -46,4 +46,41 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    # Sources of up to 20,000 rows, so one shard each; blocks go to the highest quotients one by one.
+    "op7_sainte_lague_mix": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS z, CAST(row_number() OVER (ORDER BY source IS NULL, source) - 1 AS BIGINT) AS k FROM d GROUP BY source
+), w AS (
+  SELECT *, [3, 1, 2][k % 3 + 1] AS w FROM s
+), u AS (
+  SELECT CAST(3 * sum(z) AS HUGEINT) AS num, CAST(2 * sum(w) AS HUGEINT) AS den, 0 AS turn FROM w
+  UNION ALL
+  SELECT n.num, n.den, n.turn FROM (
+    SELECT CAST(3 * sum(w.z) - 4 * sum(CASE WHEN 2 * w.z * u.den < w.w * u.num THEN w.z ELSE 0 END) AS HUGEINT) AS num,
+      CAST(2 * sum(CASE WHEN 2 * w.z * u.den < w.w * u.num THEN 0 ELSE w.w END) AS HUGEINT) AS den, u.turn + 1 AS turn
+    FROM u, w WHERE u.turn < 50 GROUP BY u.num, u.den, u.turn) n
+), l AS (
+  SELECT num, den FROM u ORDER BY turn DESC LIMIT 1
+), t AS (
+  SELECT source, z, k, CASE WHEN 2 * z * den < w * num THEN CAST(2 * z AS DOUBLE) ELSE CAST(w * num AS DOUBLE) / CAST(den AS DOUBLE) END AS target FROM w, l
+), n AS (
+  SELECT CAST(floor(sum(target) / 16 + 0.5) AS BIGINT) AS seats FROM t
+), h AS (
+  SELECT k, q, row_number() OVER (ORDER BY target / (2 * q + 1) DESC, k) AS place FROM (SELECT k, target, unnest(range(0, CAST(target / 16 AS BIGINT) + 50)) AS q FROM t)
+), g AS (
+  SELECT t.k, count(h.q) AS quota FROM t LEFT JOIN (SELECT h.* FROM h, n WHERE place <= seats) h ON h.k = t.k GROUP BY t.k
+), p AS (
+  SELECT t.*, CAST(ceil(2 * z / 16.0) AS BIGINT) AS blocks FROM t
+), f AS (
+  SELECT p.*, least(g.quota, p.blocks) AS quota, CAST(CAST('0x' || substr(md5('mix:first:' || p.k || ':0'), 1, 8) AS BIGINT) % greatest(blocks, 1) AS BIGINT) AS first FROM p JOIN g USING (k)
+), x AS (
+  SELECT d.doc_id, d.size, f.z, f.target, f.blocks * 16 AS m, f.first * 16 AS a, (f.first + f.quota) * 16 AS b,
+    sum(d.size) OVER (PARTITION BY f.k ORDER BY CAST('0x' || substr(md5('mix:order:' || d.doc_id), 1, 8) AS BIGINT), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS pos
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+)
+SELECT doc_id, size, z AS source_size, target, CAST(
+    greatest(0, least(b, m, pos + size) - greatest(a, pos)) + greatest(0, least(b - m, pos + size) - pos)
+  + greatest(0, least(b, m, z + pos + size) - greatest(a, z + pos)) + greatest(0, least(b - m, z + pos + size) - (z + pos)) AS BIGINT) AS taken FROM x""",
 }

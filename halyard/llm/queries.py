@@ -45,3 +45,10 @@ def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.multi_index import nearest
 
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
+@query
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.mixing import mix
+
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
