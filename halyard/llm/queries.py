@@ -52,3 +52,11 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.mixing import mix
 
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.quality_crf import score_quality, train
+
+    docs = _documents(spark, sf_dir)
+    return score_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
