@@ -60,3 +60,11 @@ def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     return score_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op3_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.language_id import identify, train
+
+    docs = _documents(spark, sf_dir)
+    return identify(docs, train(docs))
