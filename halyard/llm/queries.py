@@ -68,3 +68,12 @@ def op3_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     return identify(docs, train(docs))
+
+
+@query
+def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from halyard.llm.wavelet import token_files
+
+    return token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1)
