@@ -77,3 +77,12 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.wavelet import token_files
 
     return token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from halyard.llm.pieces import encode_decode
+
+    return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
