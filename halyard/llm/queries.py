@@ -86,3 +86,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.llm.pieces import encode_decode
 
     return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from halyard.llm.katz import score_documents
+
+    return score_documents(_documents(spark, sf_dir), modulus=10, held=0)
