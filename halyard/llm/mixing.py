@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from halyard.llm._common import materialise, text_buffer, text_slices, word_spans
 
 BLOCK = 16
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 SEED = "mix"

@@ -46,7 +46,7 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
-    # Sources of up to 20,000 rows, so one shard each; blocks go to the highest quotients one by one.
+    # Sources of up to 2,000 rows, so one shard each; blocks go to the highest quotients one by one.
     "op7_sainte_lague_mix": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents
