@@ -4,10 +4,10 @@ Every document is reduced to the set of its word shingles; documents with one an
 only classes go on. A class is posted under each (coordinate, value) pair of its MinHash signature. Values that a
 single class has can match nothing and are skipped, and so are classes with fewer shared values than a match needs.
 The rest are joined on a prefix: two signatures that agree on at least t of K coordinates share one of their
-K - t + 1 rarest pairs, so only those are kept as postings. In a posting list, collisions are counted between list
-members and a hub; whatever is linked to the hub is one component and is not compared again (skip merging), and
-members left outside are compared with every member of another component. Pairs of at least t equal coordinates
-are confirmed on full shingle sets.
+K - t + 1 rarest pairs, so only those are kept as postings. Collisions are counted between list members and the
+list's hub first; whatever is linked is one component and is not compared again (skip merging). Members left outside
+the largest component are compared with the members of other components, in pairs of bounded blocks that spread over
+tasks. Pairs of at least t equal coordinates are confirmed on full shingle sets.
 
 t is the largest match count that a pair at exactly the similarity bound misses with probability below `miss`.
 """
@@ -25,12 +25,11 @@ from halyard.llm._common import materialise, mix, runs, text_buffer, text_slices
 from halyard.llm.graph import connected_components
 
 COORDINATES = 48
-MISS = 1e-8
+MISS = 1e-6
 #: Class ids are broadcast up to this many (8 MB as longs); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: The closing round compares at most so many pairs for each posting; while there are more, another hub round runs.
-CLOSING_PER_POSTING = 2
-HUB_ROUNDS = 16
+#: Members of a block at most on the average; a pair of blocks is compared by one call.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -170,6 +169,91 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, t: int, coor
     return materialise(both.where(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"), "links")
 
 
+def _collide(pdf, t: int, coordinates: int):
+    """Rows of one pair of blocks as (left frame, right frame, matrix): which pairs have t equal coordinates and lie in different components."""
+    left, right = (pdf[pdf.side == side].drop_duplicates("cid").sort_values("cid") for side in (0, 1))
+    x, y = (np.frombuffer(b"".join(f.sig), "<u4").reshape(-1, coordinates) for f in (left, right))
+    hits = np.zeros((len(x), len(y)), np.int16)
+    for k in range(coordinates):
+        hits += x[:, k, None] == y[None, :, k]
+    return left, right, (hits >= t) & (left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :])
+
+
+def _involved(t: int, coordinates: int):
+    """Of a pair of blocks, the members that some retained pair involves."""
+
+    def run(pdf):
+        left, right, hit = _collide(pdf, t, coordinates)
+        out = pdf.iloc[:0]
+        if hit.any():
+            import pandas as pd
+
+            out = pd.concat([left[hit.any(1)], right[hit.any(0)]])
+        return out[["hub", "i", "j", "side", "cid", "comp", "sig"]]
+
+    return run
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, over dense incidence matrices of some columns at a time."""
+    universe = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for group in (left, right):
+        flat, row = np.concatenate(group), np.repeat(np.arange(len(group)), [len(x) for x in group])
+        at = np.searchsorted(universe, flat)
+        at[at == len(universe)] = 0
+        held = universe[at] == flat if len(universe) else np.zeros(len(flat), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], row[held][order]))
+    for a in range(0, len(universe), columns):
+        dense = []
+        for (at, row), group in zip(sides, (left, right), strict=True):
+            lo, hi = np.searchsorted(at, [a, a + columns])
+            m = np.zeros((len(group), min(columns, len(universe) - a)), np.float32)
+            m[row[lo:hi], at[lo:hi] - a] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _link_blocks(t: int, coordinates: int, percent: int):
+    """Of a pair of blocks, links confirmed on full sets; of links that close a circle within the blocks, one is left out."""
+
+    def run(pdf):
+        import pandas as pd
+
+        left, right, hit = _collide(pdf, t, coordinates)
+        ls, rs = [np.asarray(x) for x in left.shingles], [np.asarray(x) for x in right.shingles]
+        if not hit.any():
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if hit.sum() > 64:
+            shared = _overlaps(ls, rs)
+        else:
+            shared = np.zeros(hit.shape, np.int64)
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                shared[i, j] = len(np.intersect1d(ls[i], rs[j], assume_unique=True))
+        total = np.array([len(x) for x in ls])[:, None] + np.array([len(x) for x in rs])[None, :]
+        a, b = np.nonzero(hit & (100 * shared >= percent * (total - shared)))
+        a, b = left.cid.to_numpy()[a], right.cid.to_numpy()[b]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        kept = []
+        for k, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[u] = v
+                kept.append(k)
+        return pd.DataFrame({"a": a[kept], "b": b[kept]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups documents whose shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -199,42 +283,33 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordina
     found = source.join(F.broadcast(wanted) if few else wanted, "id").select("cid", "text")
     sets = materialise(found.mapInArrow(_sets(words), "cid long, shingles array<long>").dropDuplicates(["cid"]), "sets")
 
-    n_postings = prefix.count()
-    links = None
-    labels = None
-    for turn in range(HUB_ROUNDS + 1):
-        if labels is None:
-            lists = prefix.withColumn("comp", F.col("cid"))
-        else:
-            lists = prefix.join(labels.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        # Lists whose members are not all of one component.
-        sizes = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        whole = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        whole = materialise(whole, "lists")
-        left = whole.agg(F.sum((F.col("m") - F.col("most")).cast("double") * F.col("m"))).first()[0] or 0.0
-        if not left:
-            break
-        members = lists.join(whole, "key")
-        closing = turn > 0 and left <= CLOSING_PER_POSTING * n_postings or turn == HUB_ROUNDS
-        outside = members.where("comp <> main").select("key", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
-        if not closing:
-            # One hub a list: of the members outside the main component, the first in an order common to all lists.
-            outside = outside.groupBy("key").agg(F.min_by(F.struct("a", "comp_a"), F.xxhash64("a", F.lit(turn))).alias("h")).select("key", "h.a", "h.comp_a")
-        pairs = members.select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b")).join(outside, "key").where("comp_a <> comp_b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = _confirm(pairs, classes, sets, t, coordinates, percent)
-        links = new if links is None else links.union(new)
-        labels = connected_components(links)
-        labels = materialise(labels, "labels")
-        if closing:
-            break
-
-    if labels is None:
-        named = classes.select("cid", F.col("id").alias("component_id"))
-    else:
-        named = classes.select("cid", "id").join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-        named = named.join(least, "label").select("cid", "component_id")
+    # A list's hub is its first member in an order common to all lists. Two classes of one list meet in the group of
+    # its hub, so the groups hold every candidate pair, and lists of the same hub are merged into one group.
+    hubs = prefix.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    groups = materialise(prefix.join(hubs, "key").select("hub", "cid").distinct(), "groups")
+    spokes = groups.where("hub <> cid").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
+    links = _confirm(spokes, classes, sets, t, coordinates, percent)
+    labels = materialise(connected_components(links), "labels")
+
+    # What a hub did not link: members outside the largest component of their group, against the other components.
+    members = groups.join(labels.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    sizes = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_groups = sizes.groupBy("hub").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("main")).where("m > main.n")
+    open_groups = open_groups.select("hub", F.col("main.comp").alias("main"), F.ceil((F.col("m") - F.col("main.n")) / BLOCK).cast("int").alias("li"), F.ceil(F.col("m") / BLOCK).cast("int").alias("lj"))
+    rows = members.join(open_groups, "hub")
+    block = F.xxhash64("cid", F.lit(1))
+    right = rows.select("hub", F.explode(F.sequence(F.lit(0), F.col("li") - 1)).alias("i"), F.pmod(block, "lj").cast("int").alias("j"), F.lit(1).alias("side"), "cid", "comp")
+    left = rows.where("comp <> main").select("hub", F.pmod(block, "li").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("lj") - 1)).alias("j"), F.lit(0).alias("side"), "cid", "comp")
+    blocks = left.union(right).join(classes.select("cid", "sig"), "cid").select("hub", "i", "j", "side", "cid", "comp", "sig")
+    near = blocks.groupBy("hub", "i", "j").applyInPandas(_involved(t, coordinates), blocks.schema)
+    near = materialise(near, "involved")
+    more = near.join(sets, "cid").groupBy("hub", "i", "j").applyInPandas(_link_blocks(t, coordinates, percent), "a long, b long")
+    more = materialise(more, "links")
+    labels = materialise(connected_components(links.union(more)), "labels")
+
+    named = classes.select("cid", "id").join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "label").select("cid", "component_id")
     out = sketched.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("cid")).join(named, "cid", "left")
     out = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
