@@ -29,7 +29,7 @@ from halyard.llm._common import crc_fold, materialise, mix, text_buffer, text_sl
 #: Counts above this are not discounted.
 TOP = 5
 #: A chunk is closed at so many tokens; buckets hold about so many questions.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
 BUCKET_TOKENS = 4_000_000
 #: A first word is spread over all buckets if it makes up more than 1 / (SPREAD * buckets) of the tokens.
 SPREAD = 8
@@ -37,14 +37,16 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Integers in the fewest bytes each, compressed; sorted ones as differences."""
+    """Numbers, compressed; integers byte by byte, so that high bytes lie together."""
     x = np.ascontiguousarray(x)
-    return x.dtype.newbyteorder("<").str.encode()[1:] + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    raw = x.tobytes() if x.itemsize == 1 or x.dtype.kind == "f" else np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return x.dtype.newbyteorder("<").str.encode()[1:] + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(b[2:]) if len(b) > 2 else b""
-    return np.frombuffer(raw, "<" + b[:2].decode())
+    kind = np.dtype("<" + b[:2].decode())
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[2:]), np.uint8)
+    return raw.view(kind) if kind.itemsize == 1 or kind.kind == "f" else np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -98,9 +100,11 @@ def _tokenise(n_buckets: int):
             bucket = (mix(vocab) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            place = np.empty(len(order), "<u4")  # a token's place among the answers, which come bucket by bucket
+            place[order] = np.arange(len(order))
             rows = [(b, _deltas(vocab[order[x:y]]), _pack(_narrow(known[order[x:y]]))) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-            first = pa.RecordBatch.from_arrays([pa.array(["text"]), pa.array([chunk]), pa.array([0], pa.int32()), pa.array([_pack(local.astype("<u4"))]), pa.array([_pack(per.astype("<u4"))]), pa.array([_pack(out.astype("<u1"))]), pa.array([_pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))]), pa.array([_pack(ids.is_null().to_numpy(zero_copy_only=False).astype("<u1"))]), pa.array([_pack(order.astype("<u4"))])], _COLUMNS)
-            more = pa.RecordBatch.from_arrays([pa.array(["question"] * len(rows)), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), *[pa.nulls(len(rows), pa.binary())] * 4], _COLUMNS)
+            first = pa.RecordBatch.from_arrays([pa.array(["text"]), pa.array([chunk]), pa.array([0], pa.int32()), pa.array([_pack(_narrow(place[local]))]), pa.array([_pack(per.astype("<u4"))]), pa.array([_pack(out.astype("<u1"))]), pa.array([_pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))]), pa.array([_pack(ids.is_null().to_numpy(zero_copy_only=False).astype("<u1"))])], _COLUMNS)
+            more = pa.RecordBatch.from_arrays([pa.array(["question"] * len(rows)), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), *[pa.nulls(len(rows), pa.binary())] * 3], _COLUMNS)
             return first, more
 
         for batch in batches:
@@ -121,8 +125,8 @@ def _tokenise(n_buckets: int):
     return run
 
 
-_COLUMNS = ["kind", "chunk", "bucket", "a", "b", "c", "d", "e", "f"]
-_SCHEMA = "kind string, chunk long, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+_COLUMNS = ["kind", "chunk", "bucket", "a", "b", "c", "d", "e"]
+_SCHEMA = "kind string, chunk long, bucket int, a binary, b binary, c binary, d binary, e binary"
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,12 +202,8 @@ class Chunk:
         answers = answers.sort_values("bucket")
         number = [_unpack(a).astype(np.int64) + know.base[b] + 1 for a, b in zip(answers.a, answers.bucket, strict=True)]
         count = [_unpack(b).astype(np.int64) for b in answers.b]
-        order = _unpack(text.f).astype(np.int64)
         number, count = np.concatenate(number), np.concatenate(count)
-        # Answers come bucket by bucket; within a bucket they stand in the order of the chunk's vocabulary.
-        place = np.empty(len(number), np.int64)
-        place[order] = np.arange(len(number))
-        self.w, self.c = number[place][local], count[place][local]
+        self.w, self.c = number[local], count[local]
         first = np.cumsum(self.per) - self.per
         self.u, self.cu = np.empty_like(self.w), np.empty_like(self.c)
         self.u[1:], self.cu[1:] = self.w[:-1], self.c[:-1]
@@ -273,7 +273,7 @@ def _sum_pairs(know: Numbers):
         for c, e, size in zip(pdf.chunk, ends, sizes, strict=True):
             mine = at[e - size : e]
             own_heads = np.unique(head[mine])
-            rows.append(("answer", c, key[0], _pack(_narrow(total[mine])), _pack(stats[own_heads].astype("<f8")), None))
+            rows.append(("answer", c, key[0], _pack(_narrow(total[mine])), _pack(_narrow(stats[own_heads, :TOP].T.astype(np.int64).ravel())), _pack(stats[own_heads, TOP].astype("<f8"))))
         numbers = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)
         spread_heads = np.unique(head[np.flatnonzero(spread[first])])
         rows.append(("totals", 0, key[0], _pack(numbers[1 : TOP + 2].astype("<i8")), _pack(heads[spread_heads].astype("<i8")), _pack(stats[spread_heads].astype("<f8"))))
@@ -292,26 +292,29 @@ def _score(know: Numbers, d2: np.ndarray, shared: dict[int, np.ndarray], train_d
         bucket, spread = pair_buckets(u, w, cu, know.total, know.n_buckets)
         order = np.argsort(bucket, kind="stable")
         pairs = right[right.kind == "pair"].sort_values("bucket")
-        count, stats = np.empty(len(at), np.int64), np.empty((len(at), TOP + 1))
+        count = np.empty(len(at), np.int64)
+        heads, head = np.unique(u, return_inverse=True)
+        kept, rest = np.empty(len(heads)), np.empty(len(heads))  # by first word
+        cut = np.arange(1, TOP + 1) * (1 - d2[1:])
+        context = np.zeros(len(heads), np.int64)
+        context[head] = np.where(u == 0, train_docs, cu)
         done = 0
-        for a, b in zip(pairs.a, pairs.b, strict=True):
-            n, s = _unpack(a), _unpack(b).reshape(-1, TOP + 1)
+        for a, b, c in zip(pairs.a, pairs.b, pairs.c, strict=True):
+            n, s, mass = _unpack(a), _unpack(b).reshape(TOP, -1), _unpack(c)
             i = order[done : done + len(n)]
             done += len(n)
             count[i] = n
-            stats[i] = s[np.unique(u[i], return_inverse=True)[1]]
-        for head in np.unique(u[spread]).tolist():  # those spread over the buckets: the sums over all buckets
-            a, b = np.searchsorted(u, [head, head + 1])
-            stats[a:b] = shared[head]
-        context = np.where(u == 0, train_docs, cu)
-        r = np.arange(1, TOP + 1)
-        kept = context - stats[:, :TOP] @ (r * (1 - d2[1:]))  # discounted count of all that follows u
+            own = np.unique(head[i])
+            kept[own] = context[own] - cut @ s  # discounted count of all that follows
+            rest[own] = 1 - mass
+        for h in np.unique(head[spread]).tolist():  # those spread over the buckets: the sums over all buckets
+            s = shared[int(heads[h])]
+            kept[h], rest[h] = context[h] - cut @ s[:TOP], 1 - s[TOP]
         # Where nothing after u is discounted, one count more is given to the back-off.
         over = np.maximum(np.where(context - kept > 1e-9, context, context + 1), 1)
-        free = 1 - kept / over
-        rest = 1 - stats[:, TOP]
+        weight = np.where(context == 0, 1.0, (1 - kept / over) / np.maximum(rest, 1e-15))[head]
+        over = over[head]
         p1 = know.probability(chunk.c[at])
-        weight = np.where(context == 0, 1.0, free / np.maximum(rest, 1e-15))
         log = np.log10(np.where(count > 0, _discounted(count, d2) / over, weight * p1))[chunk.inverse]
         base = np.log10((chunk.c + 0.1) / (know.total + 0.1 * (know.distinct + 1)))
         add = lambda x: np.add.reduceat(x, chunk.first) if len(chunk.first) else np.zeros(0)
@@ -344,7 +347,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFr
     know.settle(1 - seen, sum(r.types for r in mass))
 
     token_answers = tokens.where("kind = 'answer'").select("chunk", "bucket", "a", "b")
-    texts = texts.select("chunk", "a", "b", "c", "d", "e", "f")
+    texts = texts.select("chunk", "a", "b", "c", "d", "e")
     pairs = texts.groupBy("chunk").cogroup(token_answers.groupBy("chunk")).applyInPandas(_ask_pairs(know), "chunk long, bucket int, u binary, w binary, n binary, cw binary, spread binary")
     summed = materialise(pairs.groupBy("bucket").applyInPandas(_sum_pairs(know), "kind string, chunk long, bucket int, a binary, b binary, c binary"), "pairs", "kind")
     numbers, shared = np.zeros(TOP + 2), {}
@@ -353,6 +356,6 @@ def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFr
         numbers[1:] += _unpack(bytes(r.a))
         for head, s in zip(_unpack(bytes(r.b)).tolist(), _unpack(bytes(r.c)).reshape(-1, TOP + 1), strict=True):
             shared[head] = shared.get(head, 0) + s
-    pair_answers = summed.where("kind = 'answer'").select("chunk", "bucket", "a", "b")
-    answers = token_answers.withColumn("kind", F.lit("token")).unionByName(pair_answers.withColumn("kind", F.lit("pair")))
+    pair_answers = summed.where("kind = 'answer'").select("chunk", "bucket", "a", "b", "c")
+    answers = token_answers.withColumn("c", F.lit(None).cast("binary")).withColumn("kind", F.lit("token")).unionByName(pair_answers.withColumn("kind", F.lit("pair")))
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_score(know, discounts(numbers), shared, train_docs), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
