@@ -88,6 +88,8 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int,
     if xi.dtype == object or qi.dtype == object:
         xi, qi = xi.astype(object), qi.astype(object)
     exact = xi.dtype != object
+    if not exact:
+        np.seterr(over="ignore", invalid="ignore")
     xf, qf = np.floor(tree["x"] * 1024.0), np.floor(q * 1024.0)
     sq = (xf**2).sum(1)
     ids, pages = tree["ids"], tree["pages"].tolist()
@@ -104,7 +106,7 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int,
             a, b, leaf = pages[number]
             if leaf:
                 low = np.abs(d - tree["dist"][a:b])
-                live = a + np.flatnonzero(((qq + sq[a:b] - low**2) / 2 + slack >= floor) & (ids[a:b] != qids[r]))
+                live = a + np.flatnonzero(~((qq + sq[a:b] - low**2) / 2 + slack < floor) & (ids[a:b] != qids[r]))
                 computed += len(live)
                 if len(live):
                     s, i = np.concatenate([kept_s, xi[live] @ qi[r]]), np.concatenate([kept_i, ids[live]])
@@ -114,10 +116,11 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int,
                     floor -= 0 if exact else abs(floor) * 1e-12 if np.isfinite(floor) else 0
                 continue
             low = np.maximum(0, np.abs(d - tree["parent"][a:b]) - tree["radius"][a:b])
-            live = a + np.flatnonzero((qq + tree["square"][a:b] - low**2) / 2 + slack >= floor)
+            live = a + np.flatnonzero(~((qq + tree["square"][a:b] - low**2) / 2 + slack < floor))
             computed += len(live)
             near = _distances(tree["routing"][live], qf[r])
             bounds = (qq + tree["square"][live] - np.maximum(0, near - tree["radius"][live]) ** 2) / 2 + slack
+            bounds[np.isnan(bounds)] = np.inf  # squares beyond a double bound nothing
             for u, e, m in zip(bounds.tolist(), live.tolist(), near.tolist(), strict=True):
                 if u >= floor:
                     heapq.heappush(heap, (-u, int(tree["child"][e]), m))
