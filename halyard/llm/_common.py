@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by the numpy kernels; bounds their temporary arrays.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -141,3 +141,35 @@ def runs(lengths: np.ndarray) -> np.ndarray:
     """0 .. length - 1 for each length, one after the other."""
     ends = np.cumsum(lengths)
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+class WordCache:
+    """Remembers the encoded bytes of words; each distinct word is encoded once while it is remembered.
+
+    When full, the words that came last are forgotten: those that came first are the common ones.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int) -> None:
+        self._encode, self._most, self._known = encode, most, {}
+
+    def rows(self, words: list[list[str]]) -> list[bytes]:
+        """For each list of words the joined bytes of their codes."""
+        known, join = self._known, b"".join
+        out, open_ = [], []
+        for w in words:
+            found = list(map(known.get, w))
+            try:
+                out.append(join(found))
+            except TypeError:  # a word that isn't known
+                open_.append((len(out), w, found))
+                out.append(b"")
+        if open_:
+            new = list({x for _, w, f in open_ for x, y in zip(w, f, strict=True) if y is None})
+            fresh = dict(zip(new, self._encode(new), strict=True))
+            for i, w, f in open_:
+                out[i] = join([fresh[x] if y is None else y for x, y in zip(w, f, strict=True)])
+            if len(known) + len(fresh) > self._most:
+                for x in list(known)[self._most // 2 :]:
+                    del known[x]
+            known.update(fresh)
+        return out

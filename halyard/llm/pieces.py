@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm._common import mix, text_buffer
+from halyard.llm._common import WordCache, mix, text_buffer
 
 BLANK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -1
+_FILTER = np.uint64((1 << 20) - 1)
+#: Words that a Python worker remembers, at about 180 bytes each.
+REMEMBERED = 500_000
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -59,7 +61,7 @@ def bpe(symbols: list[str], rank: dict[str, int]) -> list[str]:
 class PieceModel:
     """The pieces of a SentencePiece model file, ready for batched encoding."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = REMEMBERED) -> None:
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -100,6 +102,8 @@ class PieceModel:
         h, r = np.concatenate(hashes), np.concatenate(ranks)
         at = np.argsort(h)
         self.keys, self.ranks = h[at], r[at]
+        self.filter = np.zeros(int(_FILTER) + 1, bool)  # by the low bits: most hashes that aren't there stop here
+        self.filter[(h & _FILTER).astype(np.int64)] = True
         texts = [bytes([b]) if (b := self._byte_of(p, own, i)) is not None else b"" if own.is_control(i) else b" \xe2\x81\x87 " if own.is_unknown(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.text = np.frombuffer(b"".join(texts), np.uint8)
         self.text_sizes = np.array([len(x) for x in texts])
@@ -107,8 +111,7 @@ class PieceModel:
         held = {c for i in normal for c in pieces[i]}
         inner = any(BLANK in pieces[i].lstrip(BLANK) for i in normal)
         self._pattern = None if inner else re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if "\n" not in held else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self._known: dict[str, bytes] = {}
-        self._most = most
+        self._cache = WordCache(self.encode_words, most)
 
     @staticmethod
     def _byte_of(piece: str, own, i: int) -> int | None:
@@ -164,10 +167,11 @@ class PieceModel:
                 for length in range(1, min(end, self.longest) + 1):
                     start = end - length
                     h = hashes[:, end] - hashes[:, start] * power[length]
-                    at = np.searchsorted(self.keys, h)
+                    hit = np.flatnonzero(self.filter[(h & _FILTER).astype(np.int64)])
+                    at = np.searchsorted(self.keys, h[hit])
                     at[at == len(self.keys)] = 0
-                    hit = np.flatnonzero(self.keys[at] == h)
-                    piece = self.ranks[at[hit]]
+                    held = self.keys[at] == h[hit]
+                    hit, piece = hit[held], self.ranks[at[held]]
                     value = np.full(n, -np.inf)
                     if self.unigram:
                         value[hit] = total[hit, start] + self.scores[self.ids[piece]]
@@ -199,7 +203,8 @@ class PieceModel:
             out.append(np.array(found[::-1], "<u4").tobytes())
         return out
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The piece ids (uint32) of each word; words of one length go together."""
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
@@ -209,20 +214,14 @@ class PieceModel:
             for a in range(0, len(group), step):
                 part = group[a : a + step]
                 out.update(zip(part, self._viterbi(part), strict=True))
-        return out
+        return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text, with the dummy blank in front; an empty text has none."""
-        known, out = self._known, []
-        for a in range(0, len(texts), 256):
-            whole = [(BLANK + t).replace(" ", BLANK) if t else "" for t in texts[a : a + 256]]
-            split = [self._pattern.findall(t) if self._pattern else [t] if t else [] for t in whole]
-            new = {w for c in split for w in c if w not in known}
-            if len(known) + len(new) > self._most:
-                known.clear()
-                new = {w for c in split for w in c}
-            known.update(self.encode_words(new))
-            out += [np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") for c in split]
+        out = []
+        for a in range(0, len(texts), 1024):
+            whole = [(BLANK + t).replace(" ", BLANK) if t else "" for t in texts[a : a + 1024]]
+            out += [np.frombuffer(r, "<u4") for r in self._cache.rows([self._pattern.findall(t) if self._pattern else [t] if t else [] for t in whole])]
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -254,8 +253,8 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
         names = ["doc_id", "n_pieces", "pieces_crc32", "decoded_bytes", "round_trip", *["pieces"] * with_ids]
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a in range(0, batch.num_rows, 256):
-                b = min(a + 256, batch.num_rows)
+            for a in range(0, batch.num_rows, 1024):
+                b = min(a + 1024, batch.num_rows)
                 ids = _model(model).encode(batch.column(1).slice(a, b - a).to_pylist())
                 back = _model(model).decode(ids)
                 raw = data[offsets[a] : offsets[b]].tobytes()
