@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -137,6 +138,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         return mix(out + (ends - starts).astype(np.uint64) * _U(0xA0761D6478BD642F))
 
 
+def trim() -> None:
+    """Gives back memory that this Python worker holds from earlier work but doesn't use; workers live on from task to task."""
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def runs(lengths: np.ndarray) -> np.ndarray:
     """0 .. length - 1 for each length, one after the other."""
     ends = np.cumsum(lengths)

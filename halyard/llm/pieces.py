@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm._common import WordCache, mix, text_buffer
+from halyard.llm._common import WordCache, mix, text_buffer, trim
 
 BLANK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -251,6 +251,7 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
 
     def run(batches):
         names = ["doc_id", "n_pieces", "pieces_crc32", "decoded_bytes", "round_trip", *["pieces"] * with_ids]
+        trim()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a in range(0, batch.num_rows, 1024):
@@ -264,6 +265,7 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
                     at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, pieces_crc32 long, decoded_bytes long, round_trip boolean" + ", pieces array<int>" * with_ids)
