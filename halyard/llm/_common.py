@@ -156,30 +156,22 @@ def runs(lengths: np.ndarray) -> np.ndarray:
 class WordCache:
     """Remembers the encoded bytes of words; each distinct word is encoded once while it is remembered.
 
-    When full, the words that came last are forgotten: those that came first are the common ones.
+    When full, the words that came last are forgotten: those that came first are the common ones. A batch's own words
+    are all remembered while it is put together.
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int) -> None:
-        self._encode, self._most, self._known = encode, most, {}
+        self._encode, self._most, self.known = encode, most, {}
 
     def rows(self, words: list[list[str]]) -> list[bytes]:
         """For each list of words the joined bytes of their codes."""
-        known, join = self._known, b"".join
-        out, open_ = [], []
-        for w in words:
-            found = list(map(known.get, w))
-            try:
-                out.append(join(found))
-            except TypeError:  # a word that isn't known
-                open_.append((len(out), w, found))
-                out.append(b"")
-        if open_:
-            new = list({x for _, w, f in open_ for x, y in zip(w, f, strict=True) if y is None})
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            for i, w, f in open_:
-                out[i] = join([fresh[x] if y is None else y for x, y in zip(w, f, strict=True)])
-            if len(known) + len(fresh) > self._most:
-                for x in list(known)[self._most // 2 :]:
-                    del known[x]
-            known.update(fresh)
-        return out
+        known, distinct = self.known, set().union(*words)
+        new = distinct.difference(known)
+        if len(known) + len(new) > self._most:
+            for x in list(known)[self._most // 2 :]:
+                del known[x]
+            new = distinct.difference(known)
+        new = list(new)
+        known.update(zip(new, self._encode(new), strict=True))
+        code, join = known.__getitem__, b"".join
+        return [join(map(code, w)) for w in words]

@@ -172,7 +172,12 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: A chunk that the tokenizer turns into one id of its own; it parts the words of a joint call.
 _MARK = "\x01"
 #: Words that a Python worker remembers, at about 150 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: Words whose lower case is that of each character alone, and that normal form C leaves as they are.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+").fullmatch
+_TAILS = ",.;:!?"
+#: How a pre-tokenizer's pattern ends that parts letters, digits and the rest.
+_APART = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class CachedTokenizer:
@@ -180,6 +185,8 @@ class CachedTokenizer:
 
     For tokenizers whose normaliser turns white space into a blank and whose pre-tokenizer drops it, a text's ids are
     those of its chunks in a row. New chunks are encoded many at a time, in one text with marks between them.
+    Where the tokenizer itself lower-cases, plain chunks share the ids of their lower case; where it parts letters and
+    digits from other characters, a chunk's last `,` or the like, after one of them, is taken as a chunk of its own.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED) -> None:
@@ -188,12 +195,31 @@ class CachedTokenizer:
         self._own = tokenizers.Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self._own.get_vocab_size() <= 1 << 16 else "<u4")
         self._mark = self._ids(_MARK)
+        steps = lambda part: part.get("normalizers") or part.get("pretokenizers") or [part] if part else []
+        parts = json.loads(self._own.to_str())
+        self._lowers = any(x["type"] == "Lowercase" for x in steps(parts["normalizer"]))
+        apart = any(x["type"] == "Split" and x["pattern"].get("Regex", "").endswith(_APART) for x in steps(parts["pre_tokenizer"]))
+        self._tails = {x: self._ids(x).tobytes() for x in _TAILS} if apart else {}
         self._cache = WordCache(self._encode, most)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._own.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; stems that are new are remembered as well, in the same bytes."""
+        known, tails, stems = self._cache.known, self._tails, []
+        for w in words:
+            tail = b""
+            if _PLAIN(w):
+                w = w.lower() if self._lowers else w
+                if w[-1] in tails and w[-2:-1].isalnum():
+                    w, tail = w[:-1], tails[w[-1]]
+            stems.append((w, tail))
+        new = list({w for w, _ in stems}.difference(known))
+        known.update(zip(new, self._whole(new), strict=True))
+        return [known[w] + tail if tail else known[w] for w, tail in stems]
+
+    def _whole(self, words: list[str]) -> Iterator[bytes]:
         groups = [words[a : a + 500] for a in range(0, len(words), 500)]
         size = self.kind.itemsize
         for part, got in zip(groups, self._own.encode_batch_fast([f" {_MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
