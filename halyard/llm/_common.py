@@ -147,6 +147,28 @@ def trim() -> None:
         give_back(0)
 
 
+_HELD: list = []
+
+
+def held_by_worker(load: Callable) -> Callable:
+    """Keeps the last result of load in this Python worker, for later tasks of the same operator, until release()."""
+    kept = lru_cache(1)(load)
+    _HELD.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Drops what other operators hold in this worker, such as word tables, and gives the memory back."""
+    for kept in _HELD:
+        kept.cache_clear()
+    trim()
+
+
+def whole_texts(column: pa.Array) -> pa.Array:
+    """A text column of a batch with nulls as empty texts; a column without nulls is not copied."""
+    return column.fill_null("") if column.null_count else column
+
+
 def runs(lengths: np.ndarray) -> np.ndarray:
     """0 .. length - 1 for each length, one after the other."""
     ends = np.cumsum(lengths)

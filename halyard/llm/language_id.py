@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm._common import crc_fold, text_buffer, text_slices
+from halyard.llm._common import crc_fold, release, text_buffer, text_slices, trim, whole_texts
 
 #: The fit reads at most so many documents of a language, and so many in all: those of the smallest hashes.
 TRAIN_PER_LANGUAGE, TRAIN_DOCS = 800, 4000
@@ -70,17 +70,22 @@ def counted_slices(data: np.ndarray, offsets: np.ndarray, rows: int = 256):
             yield c, d, ngram_counts(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c])
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, cost: float = 4.0) -> np.ndarray:
-    """A linear machine of squared hinge loss; x has a column of ones for the bias. Dual coordinate descent in a seeded order."""
+def train_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray, rounds: int = 12, cost: float = 4.0) -> np.ndarray:
+    """A linear machine of squared hinge loss over some rows of x; x has a column of ones for the bias.
+
+    Dual coordinate descent in a seeded order; y holds the sides of those rows.
+    """
     rng = np.random.default_rng(1)
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    q = (x**2).sum(1) + 0.5 / cost
+    alpha, w = np.zeros(len(rows)), np.zeros(x.shape[1])
+    q = np.array([x[r] @ x[r] for r in rows.tolist()]) + 0.5 / cost
     for _ in range(rounds):
-        for i in rng.permutation(len(x)).tolist():
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / cost
+        for i in rng.permutation(len(rows)).tolist():
+            own = x[rows[i]].astype(float)
+            g = y[i] * (own @ w) - 1 + alpha[i] * 0.5 / cost
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                own *= (new - alpha[i]) * y[i]
+                w += own
                 alpha[i] = new
     return w
 
@@ -127,27 +132,30 @@ class Model:
         return [self.families[f][i] for f, i in zip(top.tolist(), place.tolist(), strict=True)], np.clip(score, 0, 1)
 
 
-def fit(counts: np.ndarray, langs: list[str]) -> Model:
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """Trains all machines. x holds n-gram counts and a column of ones, as float32, and is scaled in place: there is no second matrix."""
     names = sorted(set(langs))
     groups: dict[str, list[str]] = {}
     for name in names:
         groups.setdefault(_FAMILY.get(name, name), []).append(name)
     families = [groups[k] for k in sorted(groups)]
-    x = np.ones((len(counts), DIMENSIONS + 1))
-    x[:, :-1] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    squares = np.zeros(DIMENSIONS)
+    for own in x:
+        own[:-1] /= max(own[:-1].sum(dtype=float), 1)
+        squares += own[:-1].astype(float) ** 2
     scale = np.ones(DIMENSIONS + 1)
-    scale[:-1] = 1 / (np.sqrt((x[:, :-1] ** 2).mean(0)) + 1e-4) / np.sqrt(DIMENSIONS) * 4
-    x *= scale
-    lang = np.array(langs)
+    scale[:-1] = 1 / (np.sqrt(squares / len(x)) + 1e-4) / np.sqrt(DIMENSIONS) * 4
+    x *= scale.astype(np.float32)
+    lang, every = np.array(langs), np.arange(len(x))
     rows, duels = [], []
     if len(families) > 1:
         for f in families:
-            rows.append(train_svm(x, np.where(np.isin(lang, f), 1.0, -1.0)) * scale)
+            rows.append(train_svm(x, np.where(np.isin(lang, f), 1.0, -1.0), every) * scale)
     for g, f in enumerate(families):
         for a, b in combinations(range(len(f)), 2):
-            mine = (lang == f[a]) | (lang == f[b])
+            mine = np.flatnonzero((lang == f[a]) | (lang == f[b]))
             duels.append((g, a, b, len(rows)))
-            rows.append(train_svm(x[mine], np.where(lang[mine] == f[a], 1.0, -1.0)) * scale)
+            rows.append(train_svm(x, np.where(lang[mine] == f[a], 1.0, -1.0), mine) * scale)
     return Model(families, np.array(rows).reshape(-1, DIMENSIONS + 1), duels)
 
 
@@ -177,7 +185,14 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, most: int = T
     if not rows:
         return Model()
     rows = sorted((r.lang, bytes(r.counts)) for r in rows)  # the same order on every run
-    return fit(np.stack([np.frombuffer(c, "<u2") for _, c in rows]).astype(np.float32), [x for x, _ in rows])
+    langs = [x for x, _ in rows]
+    x = np.ones((len(rows), DIMENSIONS + 1), np.float32)
+    for i in range(len(rows) - 1, -1, -1):  # a row's bytes go as soon as they are in the matrix
+        x[i, :-1] = np.frombuffer(rows.pop()[1], "<u2")
+    model = fit(x, langs)
+    del x
+    trim()
+    return model
 
 
 def _predictor(model: Model):
@@ -213,12 +228,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
     """The rows of docs, all columns, whose text has a language: not `und`, and a score of at least `least`."""
-    predict = _predictor(model)
+    predict, at = _predictor(model), docs.columns.index("text")
 
     def run(batches):
+        release()
         for batch in batches:
-            names, score = predict(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist())
+            names, score = predict(whole_texts(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist())
             keep = (np.array(names, object) != NO_LANGUAGE) & (score >= least)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
 
-    return docs.select("*", F.coalesce("text", F.lit("")).alias("_whole_text"), _has_letter().alias("_letter")).mapInArrow(run, docs.schema)
+    return docs.select("*", _has_letter().alias("_letter")).mapInArrow(run, docs.schema)

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm._common import WordCache, mix, text_buffer, trim
+from halyard.llm._common import WordCache, held_by_worker, mix, text_buffer, trim
 
 BLANK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -236,7 +235,7 @@ class PieceModel:
         return [raw[a:b][1:] if raw[a : a + 1] == b" " and b > a else raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
-@lru_cache(1)
+@held_by_worker
 def _model(path: str) -> PieceModel:
     return PieceModel(path)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm._common import crc_fold, text_buffer, text_slices, word_hashes, word_spans
+from halyard.llm._common import crc_fold, release, text_buffer, text_slices, whole_texts, word_hashes, word_spans
 
 #: The fit reads at most so many labelled documents: those of the smallest hashes.
 TRAIN_DOCS = 4000
@@ -218,12 +218,13 @@ def score_quality(docs: DataFrame, chain: Chain | float) -> DataFrame:
 
 def keep_good(docs: DataFrame, chain: Chain | float) -> DataFrame:
     """The rows of docs, all columns, whose text scores 0.5 or more."""
+    at = docs.columns.index("text")
 
     def run(batches):
+        release()
         for batch in batches:
-            data, offsets = text_buffer(batch.column(batch.num_columns - 1))
+            data, offsets = text_buffer(whole_texts(batch.column(at)))
             keep = [document_scores(chain, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) >= 0.5 for a, b in text_slices(offsets)]
-            held = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
-            yield held.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.select("*", F.coalesce("text", F.lit("")).alias("_whole_text")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,6 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm._common import WordCache, materialise, shared_dir
+from halyard.llm._common import WordCache, held_by_worker, materialise, shared_dir
 from halyard.llm.files import put, read_files
 
 MAGIC = b"HWM1"
@@ -239,7 +238,7 @@ class CachedTokenizer:
             yield from (np.frombuffer(r + last, self.kind) for r in rows)
 
 
-@lru_cache(1)
+@held_by_worker
 def _tokenizer(path: str) -> CachedTokenizer:
     import os
 
