@@ -32,3 +32,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 100
+
+
+def test_layer_draw_takes_all_of_lineitem(spark, duck):
+    sql = entry.oracle_sql()["hnsw_layer_draw"].replace(" WHERE l_orderkey < 1000", "")
+    got, want = entry.queries()["hnsw_layer_draw"](spark, DIR).toPandas(), duck.execute(sql).df()
+    assert len(got) == duck.execute("SELECT count(*) FROM lineitem").fetchone()[0] and rows(got) == rows(want)
