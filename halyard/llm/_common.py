@@ -45,6 +45,15 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A hash of the whole row, and a number that no other row of the written table has.
+ROW_KEY = ("_mark", "_row")
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Writes df with the columns of ROW_KEY, which stay the same for all that reads the result."""
+    return materialise(df.withColumns({"_mark": F.xxhash64(*df.columns), "_row": F.monotonically_increasing_id()}), "keyed")
+
+
 def crc_fold(column: str, modulus: int):
     """crc32 of the id as text, modulo modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

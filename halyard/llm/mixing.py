@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm._common import materialise, text_buffer, text_slices, word_spans
+from halyard.llm._common import ROW_KEY, materialise, text_buffer, text_slices, with_row_key, word_spans
 
 BLOCK = 16
 SHARD_DOCS = 2_000
@@ -29,9 +29,9 @@ SEED = "mix"
 
 def _count_words(batches):
     for batch in batches:
-        data, offsets = text_buffer(batch.column(2))
+        data, offsets = text_buffer(batch.column(batch.num_columns - 1))
         sizes = [word_spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2] for a, b in text_slices(offsets)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))], [*batch.schema.names[:-1], "size"])
 
 
 def _hash(*parts: Column) -> Column:
@@ -131,16 +131,17 @@ def source_quotas(sources: DataFrame, seats: int) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, own: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes of each document.
 
     Returns one row per input row: doc_id, size, source_size, target (both of its source), taken (words, repeats
     counted), and the places of its two copies in its shard's line against the window taken (copy0, copy1: start
     word and end word of the parts taken, in order). A null text has size 0 and nothing is taken of it; a null source
     is a source of its own, after all others; repeated rows count as rows. An empty table gives no rows.
+    Long columns named in `own` come along and order rows of one doc_id and size.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = materialise(base.mapInArrow(_count_words, "doc_id long, source string, size long"), "sizes")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *own, F.coalesce("text", F.lit("")).alias("text"))
+    sized = materialise(base.mapInArrow(_count_words, ", ".join(["doc_id long", "source string", *(f"{c} long" for c in own), "size long"])), "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     sources = materialise(sources.withColumn("shards", F.ceil(F.col("n") / shard_docs)), "targets")
     total = sources.agg(F.sum("target")).first()[0] or 0.0
@@ -159,7 +160,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> Da
     quotas = of_shard.groupBy("rank").applyInPandas(deal, "rank long, shard long, shard_size long, blocks long, quota long")
     quotas = quotas.withColumn("first", _hash(F.lit("first"), F.col("rank").cast("string"), F.col("shard").cast("string")) % F.greatest("blocks", F.lit(1)))
     line = place.join(quotas, ["rank", "shard"])
-    order = Window.partitionBy("rank", "shard").orderBy(_hash(F.lit("order"), doc_key), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("rank", "shard").orderBy(_hash(F.lit("order"), doc_key), "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
     line = line.withColumn("at", F.sum("size").over(order) - F.col("size"))
     # The window on the circle: from word a to the end of its run, and what goes on at the start of the line.
     a, end, blocks = F.col("first") * block, (F.col("first") + F.col("quota")) * block, F.col("blocks") * block
@@ -172,7 +173,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> Da
 
     line = line.withColumn("copy0", parts(0)).withColumn("copy1", parts(1))
     words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, p: s + p["end"] - p["start"])
-    return line.select("doc_id", "size", "source_size", "target", (words("copy0") + words("copy1")).alias("taken"), "copy0", "copy1")
+    return line.select("doc_id", "size", "source_size", "target", (words("copy0") + words("copy1")).alias("taken"), "copy0", "copy1", *own)
 
 
 def _cut(batches):
@@ -198,9 +199,12 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each copy taken, with the words taken; the rest is left out.
 
     A copy that is taken whole keeps its text byte for byte; one at an end of a shard's window is cut between words.
+    Each row goes by its own plan, also where a doc_id is null or repeated: the rows are written with a key, and those of
+    one doc_id and size are ordered by their content, so reruns take the same.
     """
-    plan = mix(docs, **options).select("doc_id", "size", "copy0", "copy1").dropDuplicates(["doc_id", "size"])
-    copies = plan.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.explode(F.array("copy0", "copy1")).alias("_parts")).where(F.size("_parts") > 0)
     names = docs.columns
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))).select(*names, "_size", "_parts")
+    keyed = with_row_key(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    plan = mix(keyed, own=ROW_KEY, **options)
+    copies = plan.select("_row", F.col("size").alias("_size"), F.explode(F.array("copy0", "copy1")).alias("_parts")).where(F.size("_parts") > 0)
+    rows = keyed.join(copies, "_row").select(*names, "_size", "_parts")
     return rows.mapInArrow(_cut, docs.schema)
