@@ -122,13 +122,15 @@ def _sketch(words: int, coordinates: int):
 
 
 def _sets(words: int):
+    """(cid, shingles) of each text; the class is computed again, so no id has to tell it."""
+
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(0))
             for a, b in text_slices(offsets):
                 sets, counts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64)))], ["cid", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(sets, counts).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64)))], ["cid", "shingles"])
 
     return run
 
@@ -275,13 +277,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordina
     held = postings.join(shared, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "key"))).alias("own")).where(F.size("own") >= t)
     prefix = materialise(held.select("cid", F.explode(F.slice("own", F.lit(1), F.size("own") - t + 1)).alias("p")).select("cid", F.col("p.key").alias("key")), "prefix")
 
-    # Full sets of the classes that can have a partner, from the document that stands for each.
+    # Full sets of the classes that can have a partner, from the documents of the ids that stand for them. Where an id
+    # is null or repeated, its other texts are met as well; they go by their own class.
     owners = prefix.select("cid").distinct().join(classes.select("cid", "id"), "cid")
     owners = materialise(owners, "owners")
     few = owners.count() <= BROADCAST_IDS
-    wanted = owners.select("cid", "id")
-    found = source.join(F.broadcast(wanted) if few else wanted, "id").select("cid", "text")
-    sets = materialise(found.mapInArrow(_sets(words), "cid long, shingles array<long>").dropDuplicates(["cid"]), "sets")
+    wanted, cids = owners.select(F.col("id").alias("wanted")).distinct(), owners.select("cid")
+    found = source.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    found = found.mapInArrow(_sets(words), "cid long, shingles array<long>").join(F.broadcast(cids) if few else cids, "cid", "left_semi")
+    sets = materialise(found.dropDuplicates(["cid"]), "sets")
 
     # A list's hub is its first member in an order common to all lists. Two classes of one list meet in the group of
     # its hub, so the groups hold every candidate pair, and lists of the same hub are merged into one group.
