@@ -189,7 +189,7 @@ _META = "m AS (SELECT d.doc_id AS id, d.lang, d.source, d.n_chars, l.quality, l.
 
 
 def _store(spark: SparkSession, sf_dir: str) -> MetadataStore:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").where("doc_id % 11 <> 0")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return MetadataStore.from_columns(d, "doc_id", ["lang", "source", "n_chars", "quality", "toxic"])
 
 

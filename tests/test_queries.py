@@ -38,3 +38,17 @@ def test_layer_draw_takes_all_of_lineitem(spark, duck):
     sql = entry.oracle_sql()["hnsw_layer_draw"].replace(" WHERE l_orderkey < 1000", "")
     got, want = entry.queries()["hnsw_layer_draw"](spark, DIR).toPandas(), duck.execute(sql).df()
     assert len(got) == duck.execute("SELECT count(*) FROM lineitem").fetchone()[0] and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith("meta_") or n in ("filtered_topk", "prefiltered_topk")])
+def test_metadata_of_all_documents(spark, duck, name):
+    sql = entry.oracle_sql()[name].replace(" WHERE d.doc_id % 11 <> 0", "").replace(" WHERE doc_id % 11 <> 0", "")
+    got, want = entry.queries()[name](spark, DIR).toPandas(), duck.execute(sql).df()
+    assert rows(got) == rows(want)
+
+
+def test_store_holds_all_documents(spark, duck):
+    # Vectors without a document are the ids without metadata: no filter matches them, not even a negation.
+    found = {r.id for r in entry.queries()["meta_not"](spark, DIR).collect()} | {r.id for r in entry.queries()["meta_eq"](spark, DIR).collect()}
+    assert found == {r[0] for r in duck.execute("SELECT doc_id FROM documents").fetchall()}
+    assert duck.execute("SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)").fetchone()[0] > 0
