@@ -141,10 +141,10 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> dict[s
     # One row of the table stands for each payload; its bytes are read again, not shuffled.
     keys = rows.select("page_id", "payload", F.sha2("payload", 256).alias("sha256"))
     only = headers.groupBy("sha256").agg(F.max("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
-    repeated = only.where("n > 1").select("sha256", F.col("page_id").alias("stands"))
-    # Payloads of one record need no join; of repeated ones, the row with the largest page_id goes on.
-    marked = keys.join(repeated, "sha256", "left").where("stands IS NULL OR page_id <=> stands") if repeated.count() > BROADCAST_DIGESTS else keys.join(F.broadcast(repeated), "sha256", "left").where("stands IS NULL OR page_id <=> stands")
-    first = marked.where("stands IS NULL").select("sha256", "payload").union(marked.where("stands IS NOT NULL").groupBy("sha256").agg(F.min("payload").alias("payload")))
+    repeated = only.where("n > 1").select("sha256", F.col("page_id").alias("stands"), F.lit(True).alias("again"))
+    # Payloads of one record need no join; of repeated ones, the rows with the largest page_id go on (null, if no page has one).
+    marked = keys.join(repeated if repeated.count() > BROADCAST_DIGESTS else F.broadcast(repeated), "sha256", "left").where("again IS NULL OR page_id <=> stands")
+    first = marked.where("again IS NULL").select("sha256", "payload").union(marked.where("again").groupBy("sha256").agg(F.min("payload").alias("payload")))
     return {
         "payloads": materialise(first.mapInArrow(_write(folder + "/payloads", "payloads"), "name string, records long"), "manifest"),
         "headers": materialise(typed.mapInArrow(_write(folder + "/headers", "headers"), "name string, records long"), "manifest"),
