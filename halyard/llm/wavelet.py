@@ -1,11 +1,14 @@
 """Token ids in wavelet matrices: one compressed file for each shard.
 
-A shard's ids are stored as bit-planes, the highest bit first; below each plane the ids are parted stably by its bit.
-Counts of ones at every 512th bit give rank in constant time, so `access`, `count` and `positions` work on the file's
-content alone. Every plane is compressed on its own, so that one of them can be unpacked without the others.
-
-File: magic `HWM1`, u32 length of a JSON header, header, planes. The header holds the number of ids, the planes with
-their byte lengths and numbers of zeros, and the documents: ids and token counts, as compressed integers.
+A shard's ids are stored as bit-planes over prefix codes: a frequent id has a short code, so the planes together take
+about the ids' entropy. Below each plane the ids are parted stably by its bit. Codes are dealt so that ids whose code
+ends with a plane come last in the parted order; the next plane is over those before them. Ones before every 512th
+bit are stored beside each plane, so rank looks at one block, and `access`, `count` and `positions` read a few bytes
+of each plane where they lie in the file; nothing has to be unpacked.
+
+File: magic `HWM2`, u32 length of a JSON header, header, then for each plane its rank directory (u32 for each block)
+and its bits. The header holds the number of ids, the planes' lengths and numbers of zeros, the distinct ids with
+their counts (the codes follow from the counts), and the documents: ids and token counts, as compressed integers.
 """
 
 from __future__ import annotations
@@ -15,18 +18,18 @@ import json
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm._common import WordCache, held_by_worker, materialise, shared_dir
 from halyard.llm.files import put, read_files
 
-MAGIC = b"HWM1"
+MAGIC = b"HWM2"
 #: A file is closed at the document that brings it to so many ids.
 SHARD_IDS = 4 << 20
 BLOCK = 512
@@ -35,13 +38,62 @@ PIECE = 1 << 15
 _NULL_ID = -(1 << 63)
 
 
-def _planes(values: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
-    """Packed bits and the number of zeros of each plane."""
-    for b in range(bits - 1, -1, -1):
-        one = (values & values.dtype.type(1 << b)) != 0
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of an optimal prefix code; 0 where there is one symbol only."""
+    m = len(counts)
+    if m < 2:
+        return np.zeros(m, np.int64)
+    order = np.argsort(counts, kind="stable")
+    weight, above = [*counts[order].tolist(), *[0] * (m - 1)], [0] * (2 * m - 1)
+    leaf, inner = 0, m
+    for new in range(m, 2 * m - 1):  # both the leaves and the inner nodes stand in the order of their weights
+        for _ in range(2):
+            if leaf < m and (inner >= new or weight[leaf] <= weight[inner]):
+                least, leaf = leaf, leaf + 1
+            else:
+                least, inner = inner, inner + 1
+            weight[new] += weight[least]
+            above[least] = new
+    depth = [0] * (2 * m - 1)
+    for node in range(2 * m - 3, -1, -1):
+        depth[node] = depth[above[node]] + 1
+    out = np.empty(m, np.int64)
+    out[order] = depth[:m]
+    return out
+
+
+class Codes:
+    """The prefix code of a shard: for each symbol its length and its bits (that of plane l at place l)."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.lengths = code_lengths(counts)
+        self.depth = int(self.lengths.max()) if len(counts) else 0
+        self.bits = np.zeros(len(counts), np.uint64)
+        #: For each plane the symbols that end with it, in the order in which they stand.
+        self.ending: list[np.ndarray] = []
+        going = np.zeros(1, np.uint64)  # beginnings of codes, in the parted order
+        for level in range(self.depth):
+            going = np.concatenate([going, going | np.uint64(1 << level)])
+            mine = np.flatnonzero(self.lengths == level + 1)
+            going, done = going[: len(going) - len(mine)], going[len(going) - len(mine) :]
+            self.bits[mine] = done
+            self.ending.append(mine)
+
+
+def _directory(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block."""
+    whole = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)]).view(np.uint64)
+    ones = np.bitwise_count(whole).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
+    return (np.cumsum(ones, dtype=np.uint32) - ones).astype("<u4")
+
+
+def _planes(values: np.ndarray, left: list[int]) -> Iterator[tuple[np.ndarray, int]]:
+    """Packed bits and the number of zeros of each plane; left holds how many ids go on below each."""
+    for level, size in enumerate(left):
+        one = (values & values.dtype.type(1 << level)) != 0
         zeros = len(values) - int(np.count_nonzero(one))
         yield np.packbits(one, bitorder="little"), zeros
-        if not b:
+        if not size:
             return
         # Piece by piece, by places instead of a mask: several times as fast for random bits.
         parted, low, high = np.empty_like(values), 0, zeros
@@ -50,23 +102,35 @@ def _planes(values: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
             x, y = np.flatnonzero(~o), np.flatnonzero(o)
             parted[low : low + len(x)], parted[high : high + len(y)] = v[x], v[y]
             low, high = low + len(x), high + len(y)
-        values = parted
+        values = parted[:size]
+
+
+def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, their counts, and the place of each id among them."""
+    if not len(ids) or int(ids.max()) >= 1 << 22:
+        symbols, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        return symbols, counts, place
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    table = np.zeros(len(counts), np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
+    table[symbols] = np.arange(len(symbols))
+    return symbols, counts[symbols], table[ids]
 
 
 def encode(ids: np.ndarray, documents: list[int | None] | None = None, lengths: np.ndarray | None = None) -> bytes:
     """One file's content."""
-    ids = np.asarray(ids)
-    bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    values = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    pack = zstandard.ZstdCompressor(level=1).compress
-    planes, zeros = [], []
-    for plane, n in _planes(values, bits):
-        planes.append(pack(plane.tobytes()))
+    symbols, counts, place = _symbols(np.asarray(ids))
+    codes = Codes(counts)
+    kind = np.uint16 if codes.depth <= 16 else np.uint32 if codes.depth <= 32 else np.uint64
+    left = (len(place) - np.cumsum([int(counts[e].sum()) for e in codes.ending])).astype(int).tolist()
+    parts, zeros = [], []
+    for plane, n in _planes(codes.bits.astype(kind)[place], left):
+        parts += [_directory(plane).tobytes(), plane.tobytes()]
         zeros.append(n)
     docs = np.array([_NULL_ID if d is None else d for d in documents or []], "<i8")
-    text = lambda x: base64.b64encode(zlib.compress(x.tobytes())).decode()
-    header = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "bytes": [len(p) for p in planes], "docs": text(docs), "lengths": text(np.asarray([] if lengths is None else lengths, "<i8"))}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *planes])
+    text = lambda x: base64.b64encode(zlib.compress(np.asarray(x, "<i8").tobytes(), 1)).decode()
+    header = json.dumps({"n": len(place), "sizes": [len(place), *left[:-1]][: codes.depth], "zeros": zeros, "symbols": text(symbols), "counts": text(counts), "docs": text(docs), "lengths": text([] if lengths is None else lengths)}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *parts])
 
 
 class WaveletMatrix:
@@ -76,89 +140,98 @@ class WaveletMatrix:
         if blob[:4] != MAGIC:
             raise ValueError("not a token file")
         size = struct.unpack("<I", blob[4:8])[0]
-        self.header = json.loads(blob[8 : 8 + size])
-        self.n, self.bits, self.zeros = self.header["n"], self.header["bits"], self.header["zeros"]
-        number = lambda k: np.frombuffer(zlib.decompress(base64.b64decode(self.header[k])), "<i8")
+        header = json.loads(blob[8 : 8 + size])
+        number = lambda k: np.frombuffer(zlib.decompress(base64.b64decode(header[k])), "<i8")
+        self.n, self.zeros, self.sizes = header["n"], header["zeros"], header["sizes"]
+        self.symbols, self.counts = number("symbols"), number("counts")
         self.documents, self.lengths = [None if d == _NULL_ID else int(d) for d in number("docs")], number("lengths")
-        ends = 8 + size + np.cumsum([0, *self.header["bytes"]])
-        if len(blob) != ends[-1]:
-            raise ValueError("the token file is cut short")
-        self._blob, self._ends = blob, ends
-        self._ranks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _plane(self, level: int) -> np.ndarray:
-        raw = zstandard.ZstdDecompressor().decompress(self._blob[self._ends[level] : self._ends[level + 1]], max_output_size=-(-self.n // 8) or 1)
-        return np.frombuffer(raw, np.uint8)
-
-    def _rank_table(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        if level not in self._ranks:
-            plane = self._plane(level)
-            ones = np.bitwise_count(np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])).reshape(-1, BLOCK // 8).sum(1)
-            self._ranks[level] = plane, np.concatenate([[0], np.cumsum(ones)])
-        return self._ranks[level]
+        self.codes = Codes(self.counts)
+        self._ranks, self._bits, at = [], [], 8 + size
+        for n in self.sizes:
+            blocks, plane = -(-n // BLOCK), -(-n // 8)
+            if at + 4 * blocks + plane > len(blob):
+                raise ValueError("the token file is cut short")
+            self._ranks.append(np.frombuffer(blob, "<u4", blocks, at))
+            self._bits.append(np.frombuffer(blob, np.uint8, plane, at + 4 * blocks))
+            at += 4 * blocks + plane
+        if at != len(blob):
+            raise ValueError("the token file is longer than its planes")
 
     def rank1(self, level: int, i: int) -> int:
-        """Ones before bit i of a plane."""
-        plane, blocks = self._rank_table(level)
+        """Ones before bit i of a plane: its block's number in the directory, and the bits before it in the block."""
         block, bit = divmod(i, BLOCK)
+        if block == len(self._ranks[level]):
+            return self.sizes[level] - self.zeros[level]
         start, (whole, rest) = block * (BLOCK // 8), divmod(bit, 8)
-        ones = int(blocks[block]) + int(np.bitwise_count(plane[start : start + whole]).sum())
+        plane = self._bits[level]
+        ones = int(self._ranks[level][block]) + int(np.bitwise_count(plane[start : start + whole]).sum())
         return ones + (int(plane[start + whole]) & ((1 << rest) - 1)).bit_count() if rest else ones
 
     def select(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) 0 or 1 of a plane."""
-        plane, blocks = self._rank_table(level)
-        before = blocks if bit else np.arange(len(blocks)) * BLOCK - blocks
-        block = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(plane[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+        """The place of the k-th (from 0) 0 or 1 of a plane: its block by bisection of the directory, then within the block."""
+        ranks = self._ranks[level]
+        before = (lambda b: int(ranks[b])) if bit else (lambda b: b * BLOCK - int(ranks[b]))
+        block = bisect_right(range(len(ranks)), k, key=before) - 1
+        bits = np.unpackbits(self._bits[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - before(block)])
 
     def access(self, i: int) -> int:
         """The id at place i."""
-        value = 0
-        for level in range(self.bits):
-            plane, _ = self._rank_table(level)
-            bit = int(plane[i >> 3]) >> (i & 7) & 1
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        for level, size in enumerate(self.sizes):
+            bit = int(self._bits[level][i >> 3]) >> (i & 7) & 1
             ones = self.rank1(level, i)
-            value, i = value << 1 | bit, self.zeros[level] + ones if bit else i - ones
-        return value
-
-    def _range(self, token: int, end: int) -> tuple[int, int]:
-        a, b = 0, end
-        if token >> self.bits:
-            return 0, 0
-        for level in range(self.bits):
+            i = self.zeros[level] + ones if bit else i - ones
+            left = self.sizes[level + 1] if level + 1 < len(self.sizes) else 0
+            if i >= left:
+                mine = self.codes.ending[level]
+                return int(self.symbols[mine[np.searchsorted(np.cumsum(self.counts[mine]), i - left, "right")]])
+        return int(self.symbols[0])
+
+    def _symbol(self, token: int) -> int | None:
+        s = int(np.searchsorted(self.symbols, token))
+        return s if s < len(self.symbols) and self.symbols[s] == token else None
+
+    def _range(self, s: int, end: int) -> tuple[int, int]:
+        a, b, code = 0, end, int(self.codes.bits[s])
+        for level in range(int(self.codes.lengths[s])):
             x, y = self.rank1(level, a), self.rank1(level, b)
-            a, b = (self.zeros[level] + x, self.zeros[level] + y) if token >> (self.bits - 1 - level) & 1 else (a - x, b - y)
+            a, b = (self.zeros[level] + x, self.zeros[level] + y) if code >> level & 1 else (a - x, b - y)
         return a, b
 
     def count(self, token: int, end: int | None = None) -> int:
         """Occurrences of a token among the first `end` ids (all)."""
-        a, b = self._range(token, self.n if end is None else end)
+        if (s := self._symbol(token)) is None:
+            return 0
+        a, b = self._range(s, self.n if end is None else end)
         return b - a
 
     def position(self, token: int, k: int) -> int:
         """The place of a token's k-th occurrence (from 0)."""
-        a, b = self._range(token, self.n)
-        if not 0 <= k < b - a:
+        s = self._symbol(token)
+        if s is None or not 0 <= k < self.counts[s]:
             raise IndexError(k)
-        i = a + k
-        for level in range(self.bits - 1, -1, -1):
-            bit = token >> (self.bits - 1 - level) & 1
+        i, code = self._range(s, 0)[0] + k, int(self.codes.bits[s])
+        for level in range(int(self.codes.lengths[s]) - 1, -1, -1):
+            bit = code >> level & 1
             i = self.select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
     def to_array(self) -> np.ndarray:
-        """All ids, plane by plane from the lowest bit up."""
-        kind = np.uint16 if self.bits <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
-        for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self._plane(level), count=self.n, bitorder="little").view(bool)
-            above, low, high, bit = np.empty(self.n, kind), 0, self.zeros[level], kind(1 << (self.bits - 1 - level))
-            for a in range(0, self.n, PIECE):
+        """All ids, plane by plane from the lowest up."""
+        kind = np.uint16 if not len(self.symbols) or self.symbols[-1] < 1 << 16 else np.uint32
+        symbols = self.symbols.astype(kind)
+        out = np.zeros(0, kind) if self.codes.depth else np.repeat(symbols, self.counts)
+        for level in range(self.codes.depth - 1, -1, -1):
+            mine, n = self.codes.ending[level], self.sizes[level]
+            parted = np.concatenate([out, np.repeat(symbols[mine], self.counts[mine])]) if len(mine) else out
+            one = np.unpackbits(self._bits[level], count=n, bitorder="little").view(bool)
+            above, low, high = np.empty(n, kind), 0, self.zeros[level]
+            for a in range(0, n, PIECE):
                 o, part = one[a : a + PIECE], above[a : a + PIECE]
                 x, y = np.flatnonzero(~o), np.flatnonzero(o)
-                part[x], part[y] = out[low : low + len(x)], out[high : high + len(y)] | bit
+                part[x], part[y] = parted[low : low + len(x)], parted[high : high + len(y)]
                 low, high = low + len(x), high + len(y)
             out = above
         return out
