@@ -184,6 +184,16 @@ def runs(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+class _Known(dict):
+    """Codes of words; a word that isn't there is noted, each time it is asked for, and has the code None."""
+
+    def __init__(self) -> None:
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+
+
 class WordCache:
     """Remembers the encoded bytes of words; each distinct word is encoded once while it is remembered.
 
@@ -192,17 +202,28 @@ class WordCache:
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int) -> None:
-        self._encode, self._most, self.known = encode, most, {}
+        self._encode, self._most, self.known = encode, most, _Known()
 
     def rows(self, words: list[list[str]]) -> list[bytes]:
         """For each list of words the joined bytes of their codes."""
-        known, distinct = self.known, set().union(*words)
-        new = distinct.difference(known)
-        if len(known) + len(new) > self._most:
-            for x in list(known)[self._most // 2 :]:
-                del known[x]
-            new = distinct.difference(known)
-        new = list(new)
-        known.update(zip(new, self._encode(new), strict=True))
-        code, join = known.__getitem__, b"".join
-        return [join(map(code, w)) for w in words]
+        known, join = self.known, b"".join
+        code, missed, out, late = known.__getitem__, known.missed, [], []
+        for w in words:
+            before = len(missed)
+            codes = list(map(code, w))
+            if len(missed) > before:
+                late.append(len(out))
+                out.append(codes)
+            else:
+                out.append(join(codes))
+        if missed:
+            fresh = list(dict.fromkeys(missed))
+            missed.clear()
+            found = dict(zip(fresh, self._encode(fresh), strict=True))
+            for i in late:
+                out[i] = join([found[w] if c is None else c for w, c in zip(words[i], out[i], strict=True)])
+            known.update(found)
+            if len(known) > self._most:
+                for x in list(known)[self._most // 2 :]:
+                    del known[x]
+        return out

@@ -245,11 +245,19 @@ _ODD = re.compile("[\x1c-\x1f]")
 _MARK = "\x01"
 #: Words that a Python worker remembers, at about 150 bytes each.
 REMEMBERED = 1_000_000
-#: Words whose lower case is that of each character alone, and that normal form C leaves as they are.
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+").fullmatch
-_TAILS = ",.;:!?"
+#: Words whose lower case is that of each character alone, and that normal form C leaves as they are; their stem, which ends with a letter or digit, and the marks after it.
+_PLAIN = re.compile(r"([\x21-\x7e\xc0-\xff]*[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)").fullmatch
+#: Words of lower-case letters up to U+00FF.
+_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 #: How a pre-tokenizer's pattern ends that parts letters, digits and the rest.
 _APART = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Normalisers that change nothing in lower-case words of letters up to U+00FF.
+_GENTLE = {"NFC", "Replace", "Lowercase"}
+#: Byte-level pre-tokenizers write each byte as one visible character: these bytes from U+0100 on, the others as themselves.
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_AS_BYTES = np.arange(256, dtype="<u2")
+_AS_BYTES[_HIDDEN] = np.arange(0x100, 0x100 + len(_HIDDEN))
+_AS_BYTES[0x20] = 0x20  # parts the words here
 
 
 class CachedTokenizer:
@@ -257,8 +265,10 @@ class CachedTokenizer:
 
     For tokenizers whose normaliser turns white space into a blank and whose pre-tokenizer drops it, a text's ids are
     those of its chunks in a row. New chunks are encoded many at a time, in one text with marks between them.
-    Where the tokenizer itself lower-cases, plain chunks share the ids of their lower case; where it parts letters and
-    digits from other characters, a chunk's last `,` or the like, after one of them, is taken as a chunk of its own.
+    Where the tokenizer itself lower-cases, texts of characters up to U+00FF are lower-cased first; where it parts
+    letters and digits from other characters, a plain chunk is taken as its stem and the marks after it. New stems of
+    letters alone go through the library's model without the steps that leave them as they are, one blank between
+    them: the ids that end a word tell them apart.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED) -> None:
@@ -269,27 +279,53 @@ class CachedTokenizer:
         self._mark = self._ids(_MARK)
         steps = lambda part: part.get("normalizers") or part.get("pretokenizers") or [part] if part else []
         parts = json.loads(self._own.to_str())
-        self._lowers = any(x["type"] == "Lowercase" for x in steps(parts["normalizer"]))
-        apart = any(x["type"] == "Split" and x["pattern"].get("Regex", "").endswith(_APART) for x in steps(parts["pre_tokenizer"]))
-        self._tails = {x: self._ids(x).tobytes() for x in _TAILS} if apart else {}
+        normal, cut, model = steps(parts["normalizer"]), steps(parts["pre_tokenizer"]), parts["model"]
+        self._lowers = any(x["type"] == "Lowercase" for x in normal)
+        self._apart = bool(cut) and cut[0]["type"] == "Split" and cut[0]["pattern"].get("Regex", "").endswith(_APART)
+        #: Where an added token occurs, in whatever case, nothing is lower-cased or cut before the library sees it.
+        self._special = re.compile("|".join(re.escape(x["content"]) for x in parts["added_tokens"]) or "$^", re.IGNORECASE).search
+        self._ends = None
+        ends = model.get("end_of_word_suffix")
+        byte_level = len(cut) == 2 and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        if self._apart and byte_level and ends and self._lowers and {x["type"] for x in normal} <= _GENTLE and model["type"] == "BPE":
+            self._stems = tokenizers.Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+            self._ends = np.zeros(self._own.get_vocab_size(), bool)
+            self._ends[[i for t, i in model["vocab"].items() if t.endswith(ends)]] = True
         self._cache = WordCache(self._encode, most)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._own.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; stems that are new are remembered as well, in the same bytes."""
-        known, tails, stems = self._cache.known, self._tails, []
+        """The ids of each word; stems and marks that are new are remembered as well, in the same bytes."""
+        known, parts, plain, rest = self._cache.known, [], {}, {}
         for w in words:
-            tail = b""
-            if _PLAIN(w):
+            tail = ""
+            if self._apart and (found := _PLAIN(w)) and not self._special(w):
+                w, tail = found.groups()
                 w = w.lower() if self._lowers else w
-                if w[-1] in tails and w[-2:-1].isalnum():
-                    w, tail = w[:-1], tails[w[-1]]
-            stems.append((w, tail))
-        new = list({w for w, _ in stems}.difference(known))
-        known.update(zip(new, self._whole(new), strict=True))
-        return [known[w] + tail if tail else known[w] for w, tail in stems]
+                if tail and tail not in known:
+                    rest[tail] = None
+            parts.append((w, tail))
+            if w not in known:
+                (plain if self._ends is not None and _LETTERS(w) else rest)[w] = None
+        known.update(zip(plain, self._letters(list(plain)), strict=True))
+        known.update(zip(rest, self._whole(list(rest)), strict=True))
+        return [known[stem] + known[tail] if tail else known[stem] for stem, tail in parts]
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of lower-case words of plain letters."""
+        groups = [words[a : a + 500] for a in range(0, len(words), 500)]
+        texts = [_AS_BYTES[np.frombuffer(" ".join(g).encode(), np.uint8)].tobytes().decode("utf-16-le") for g in groups]
+        size = self.kind.itemsize
+        for part, got in zip(groups, self._stems.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            joint = np.array(got.ids, self.kind)
+            cuts = np.flatnonzero(self._ends[joint]) + 1
+            if len(cuts) == len(part):
+                raw, at = joint.tobytes(), (size * cuts).tolist()
+                yield from (raw[s:e] for s, e in zip([0, *at[:-1]], at, strict=True))
+            else:  # a character without an id, whose word has no end
+                yield from (self._ids(w).tobytes() for w in part)
 
     def _whole(self, words: list[str]) -> Iterator[bytes]:
         groups = [words[a : a + 500] for a in range(0, len(words), 500)]
@@ -303,14 +339,30 @@ class CachedTokenizer:
             else:  # a word holds the mark
                 yield from (self._ids(w).tobytes() for w in part)
 
+    def _words(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return [text]
+        if self._lowers and (text.isascii() or _narrow(text)) and not self._special(text):
+            text = text.lower()  # of each character alone
+        return text.split()
+
     def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id."""
         last = np.array([end], self.kind).tobytes()
         for a in range(0, len(texts), 256):
-            rows = self._cache.rows([[t] if _ODD.search(t) else t.split() for t in texts[a : a + 256]])
+            rows = self._cache.rows([self._words(t) for t in texts[a : a + 256]])
             yield from (np.frombuffer(r + last, self.kind) for r in rows)
 
 
+def _narrow(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @held_by_worker
 def _tokenizer(path: str) -> CachedTokenizer:
     import os
