@@ -23,12 +23,15 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where that setting is unset (tests on one machine), a temporary folder is set as checkpoint folder first.
+    Where that setting is unset (tests on one machine), a temporary folder is set as checkpoint folder first; on a
+    cluster that is an error, since executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="halyard-")
             spark.sparkContext.setCheckpointDir(root)
         else:

@@ -22,6 +22,8 @@ from halyard.llm._common import crc_fold, release, text_buffer, text_slices, tri
 TRAIN_PER_LANGUAGE, TRAIN_DOCS = 800, 4000
 DIMENSIONS = 4096
 NO_LANGUAGE = "und"
+#: The largest value of a hash without its lowest 11 bits.
+_TOP = (1 << 53) - 1
 #: Families of languages by ISO 639-1 code; a language that isn't here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -173,15 +175,25 @@ def _has_letter():
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, most: int = TRAIN_DOCS) -> Model:
     """Fits the machines to documents with a language and a letter whose crc32(doc_id) mod 4 is not 2.
 
-    The sample holds at most per_language documents of a language and `most` in all. Without such documents the
-    model knows no language.
+    The sample holds at most per_language documents of a language and `most` in all, those of the smallest hashes of
+    id, language and text. Repeated rows count once; rows of one id with several texts or languages are documents of
+    their own; rows without an id, a language or a letter are not learned from. Without such documents, as in an
+    empty table, the model knows no language. No more than `most` feature vectors reach the driver.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 4) != 2) & _has_letter())
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    some = known.select(F.col("doc_id").cast("long").alias("_id"), "lang").withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language)
-    some = some.orderBy("place", "lang").limit(most).select("_id", "lang")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(some), "_id").select("lang", "text").mapInArrow(_counts, "lang string, counts binary").collect()
+    own = F.xxhash64(F.col("doc_id").cast("long"), "lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 4) != 2) & _has_letter()).select("lang", "text", own.alias("_own"))
+    # Only the smallest hashes of a language matter. A language's number of rows tells how small they are, so that few
+    # rows more than needed go through the window, whatever the language's share of the table.
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(most).collect()
+    if not sizes or per_language < 1:
+        return Model()
+    wanted = per_language + 6 * per_language**0.5 + 50
+    bounds = [(r.lang, int(min(1.0, wanted / r.n) * _TOP)) for r in sizes]
+    place = Window.partitionBy("lang").orderBy("_own")
+    few = known.select("lang", "_own").join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, _bound long")), "lang")
+    few = few.where(F.shiftrightunsigned("_own", 11) <= F.col("_bound")).select("lang", "_own").distinct()
+    few = few.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= per_language).orderBy("_place", "lang").limit(most).select("_own")
+    rows = known.join(F.broadcast(few), "_own", "left_semi").dropDuplicates(["_own"]).select("lang", "text").mapInArrow(_counts, "lang string, counts binary").collect()
     if not rows:
         return Model()
     rows = sorted((r.lang, bytes(r.counts)) for r in rows)  # the same order on every run
@@ -227,7 +239,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: not `und`, and a score of at least `least`."""
+    """The rows of docs, all columns, whose text has a language: not `und`, and a score of at least `least`.
+
+    Null and empty texts have none and go; rows go by their own texts, so null and repeated ids change nothing and
+    repeated rows share their fate. An empty table stays empty.
+    """
     predict, at = _predictor(model), docs.columns.index("text")
 
     def run(batches):

@@ -77,8 +77,18 @@ def targets(sources: DataFrame, numerator: int = 3, denominator: int = 2) -> Dat
 
 
 def apportion(weights: np.ndarray, seats: int, limit: np.ndarray | None = None) -> np.ndarray:
-    """Sainte-Lague seats for each weight, ties to the earlier; none above its limit."""
+    """Sainte-Lague seats for each weight, ties to the earlier; none above its limit, and what is above is dealt anew to the others."""
     weights = np.asarray(weights, float)
+    if limit is not None:
+        out, free = np.zeros(len(weights), np.int64), np.ones(len(weights), bool)
+        while free.any():
+            given = apportion(np.where(free, weights, 0), seats - int(out[~free].sum()))
+            full = free & (given >= limit) & (given > 0)
+            out[free] = given[free]
+            if not (given[full] > limit[full]).any():
+                break
+            out[full], free = limit[full], free & ~full
+        return out
     seats_of = np.zeros(len(weights), np.int64)
     if seats <= 0 or not weights.sum():
         return seats_of
@@ -97,7 +107,7 @@ def apportion(weights: np.ndarray, seats: int, limit: np.ndarray | None = None)
         for i in np.lexsort((np.arange(len(nxt)), -nxt))[: seats - int(seats_of.sum())]:
             if nxt[i] >= nxt.max() * (1 - 1e-12):
                 seats_of[i] += 1
-    return seats_of if limit is None else np.minimum(seats_of, limit)
+    return seats_of
 
 
 def source_quotas(sources: DataFrame, seats: int) -> DataFrame:

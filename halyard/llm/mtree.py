@@ -24,11 +24,22 @@ _LONG = (1 << 63) - 1
 
 
 def quantise(x: np.ndarray) -> np.ndarray:
-    """floor(1024 * x) as 64-bit integers, or as Python integers where they are too large for exact 64-bit products."""
+    """floor(1024 * x) as 64-bit integers, or as Python integers beyond 62 bits."""
     y = np.floor(x * 1024.0)
-    if y.size and np.abs(y).max() >= 2**28:
-        return np.array([[int(v) for v in row] for row in y], object).reshape(y.shape)
-    return y.astype(np.int64)
+    return y.astype(np.int64) if not y.size or np.abs(y).max() < 2**62 else _exact(y)
+
+
+def _exact(y: np.ndarray) -> np.ndarray:
+    """The same numbers as Python integers."""
+    return np.array([int(v) for v in y.ravel()], object).reshape(y.shape)
+
+
+def _products_fit(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether every inner product of rows of x and q, and every partial sum of one, is a 64-bit integer."""
+    if x.dtype == object or q.dtype == object:
+        return False
+    top = [int(np.abs(a).max()) if a.size else 0 for a in (x, q)]
+    return x.shape[1] * top[0] * top[1] < 1 << 63
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -85,10 +96,9 @@ def build(x: np.ndarray, ids: np.ndarray) -> bytes:
 def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int, stats: dict[str, int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query row: its number and the ids and scores of its k best vectors of other ids."""
     xi, qi = quantise(tree["x"]), quantise(q)
-    if xi.dtype == object or qi.dtype == object:
-        xi, qi = xi.astype(object), qi.astype(object)
-    exact = xi.dtype != object
+    exact = _products_fit(xi, qi)
     if not exact:
+        xi, qi = _exact(xi), _exact(qi)
         np.seterr(over="ignore", invalid="ignore")
     xf, qf = np.floor(tree["x"] * 1024.0), np.floor(q * 1024.0)
     sq = (xf**2).sum(1)
@@ -109,7 +119,8 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int,
                 live = a + np.flatnonzero(~((qq + sq[a:b] - low**2) / 2 + slack < floor) & (ids[a:b] != qids[r]))
                 computed += len(live)
                 if len(live):
-                    s, i = np.concatenate([kept_s, xi[live] @ qi[r]]), np.concatenate([kept_i, ids[live]])
+                    own = xi[live] @ qi[r] if exact else np.array([max(-_LONG - 1, min(_LONG, v)) for v in xi[live] @ qi[r]], object)
+                    s, i = np.concatenate([kept_s, own]), np.concatenate([kept_i, ids[live]])
                     order = best(s, i, k) if exact else np.array(sorted(range(len(s)), key=lambda t: (-s[t], i[t]))[:k], int)
                     kept_s, kept_i = s[order], i[order]
                     floor = float(kept_s[-1]) if len(kept_s) == k else floor
@@ -124,8 +135,6 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int,
             for u, e, m in zip(bounds.tolist(), live.tolist(), near.tolist(), strict=True):
                 if u >= floor:
                     heapq.heappush(heap, (-u, int(tree["child"][e]), m))
-        if not exact:
-            kept_s = np.array([max(-_LONG - 1, min(_LONG, int(v))) for v in kept_s], np.int64)
         yield r, kept_i, kept_s.astype(np.int64)
     if stats is not None:
         stats["computed"] = stats.get("computed", 0) + computed
@@ -136,7 +145,7 @@ def exact_topk(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
 
     Queries are the rows whose id is divisible by `every`. Vectors that are null or hold null or non-finite
     components take no part, nor do null ids. A query meets vectors of its own dimension only; scores beyond 64 bits
-    are held at the limits of a long. Repeated rows count as rows; an empty table gives no rows.
+    count as the limit of a long that they pass, so they tie. Repeated rows count as rows; an empty table gives no rows.
     """
     vectors = clean_vectors(df, id_col, vector_col, allow_zero=True)
     return search_shards(vectors, vectors.where(F.col("vec_id") % every == 0), build, search, k, "long")

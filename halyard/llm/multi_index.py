@@ -2,8 +2,9 @@
 
 Two codebooks quantise the two halves of a vector; a cell is a pair of centroids. A query sorts each codebook by inner
 product and walks the pairs from the highest sum down with a heap, until the cells met hold enough vectors; those are
-ranked by the exact inner product of the original vectors. Every row is in the index; the codebooks are fitted on a
-bounded sample.
+ranked by the exact inner product of the original vectors. Every row is in the index; a shard's codebooks are fitted
+on a bounded sample of its rows. How many vectors are enough is measured when a shard is built: sample queries look
+for their exact nearest ones, and the walk has to be as long as RECALL of these need.
 """
 
 from __future__ import annotations
@@ -12,17 +13,16 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.vectors import best, clean_vectors, pack, search_shards, unpack
+from halyard.llm.vectors import best, clean_vectors, pack, search_shards
 
-#: The fit reads at most so many vectors: those of the smallest hashes.
+#: The fit of a shard reads at most so many of its vectors, drawn by a seed.
 SAMPLE = 8192
 CENTROIDS = 32
-#: The walk ends when it has met this share of a shard's vectors, and at least LEAST of them.
-SHARE, LEAST = 0.55, 1000
+#: The share of the exact NEAR nearest of PROBES rows of a shard that its walks have to reach.
+RECALL, NEAR, PROBES = 0.95, 20, 128
 #: Vectors of an index shard on the average.
 SHARD = 32_768
 
@@ -41,27 +41,44 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     return c
 
 
-def fit(pdf: pd.DataFrame, centroids: int = CENTROIDS) -> bytes:
-    x = np.vstack(pdf.sort_values("vec_id", kind="stable").v.to_list())
-    h = x.shape[1] // 2
-    return pack(first=kmeans(x[:, :h], centroids), second=kmeans(x[:, h:], centroids))
+def _nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
+
 
+def _walk_length(x: np.ndarray, cell: np.ndarray, first: np.ndarray, second: np.ndarray) -> int:
+    """Vectors that a walk has to meet so that RECALL of the nearest ones of sample rows are among them."""
+    n, h = len(x), x.shape[1] // 2
+    probes = np.random.default_rng(1).permutation(n)[:PROBES]
+    sizes = np.bincount(cell, minlength=len(first) * len(second))
+    needed = []
+    for p in probes.tolist():
+        scores = x @ x[p]
+        scores[p] = -np.inf
+        near = np.argsort(-scores, kind="stable")[: min(NEAR, n - 1)]
+        sums = ((first @ x[p, :h])[:, None] + (second @ x[p, h:])[None, :]).ravel()
+        order = np.argsort(-sums, kind="stable")
+        met = np.empty_like(sizes)
+        met[order] = np.cumsum(sizes[order])
+        needed.append(met[cell[near]])
+    needed = np.sort(np.concatenate(needed))
+    return int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) if len(needed) else n
 
-def _build(codebooks: dict[int, bytes]):
-    def build(x: np.ndarray, ids: np.ndarray) -> bytes:
-        held, h = unpack(codebooks[x.shape[1]]), x.shape[1] // 2
-        a, b = (((c**2).sum(1)[None] - 2 * y @ c.T).argmin(1) for c, y in ((held["first"], x[:, :h]), (held["second"], x[:, h:])))
-        cell = a * len(held["second"]) + b
-        order = np.argsort(cell, kind="stable")
-        starts = np.searchsorted(cell[order], np.arange(len(held["first"]) * len(held["second"]) + 1))
-        return pack(ids=ids[order], x=x[order], starts=starts, **held)
 
-    return build
+def build(x: np.ndarray, ids: np.ndarray, centroids: int = CENTROIDS) -> bytes:
+    """The index over the rows of x, packed: ids and vectors in the order of their cells, and where each cell starts."""
+    h = x.shape[1] // 2
+    some = x if len(x) <= SAMPLE else x[np.sort(np.random.default_rng(0).permutation(len(x))[:SAMPLE])]
+    first, second = kmeans(some[:, :h], centroids), kmeans(some[:, h:], centroids)
+    cell = _nearest_centroid(x[:, :h], first) * len(second) + _nearest_centroid(x[:, h:], second)
+    order = np.argsort(cell, kind="stable")
+    starts = np.searchsorted(cell[order], np.arange(len(first) * len(second) + 1))
+    return pack(ids=ids[order], x=x[order], starts=starts, first=first, second=second, enough=np.array([_walk_length(x, cell, first, second)]))
 
 
-def search(index: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int, share: float = SHARE, least: int = LEAST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(index: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int, stats: dict[str, int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query row: its number and the ids and scores of the k best vectors of other ids that its walk met."""
     h, ids, x, starts = q.shape[1] // 2, index["ids"], index["x"], index["starts"].tolist()
-    enough = max(least, k + 1, int(share * len(ids)))
+    enough = max(k + 1, int(index["enough"][0]))
     one, two = q[:, :h] @ index["first"].T, q[:, h:] @ index["second"].T
     left, right = np.argsort(-one, 1, kind="stable"), np.argsort(-two, 1, kind="stable")
     n1, n2 = one.shape[1], two.shape[1]
@@ -82,6 +99,8 @@ def search(index: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int
                 heapq.heappush(heap, (-(ls[i] + rs[j + 1]), i, j + 1))
         rows = np.concatenate([np.arange(a, b) for a, b in parts]) if parts else np.zeros(0, np.int64)
         rows = rows[ids[rows] != qids[r]]
+        if stats is not None:
+            stats["met"] = stats.get("met", 0) + len(rows)
         scores = x[rows] @ q[r]
         order = best(scores, ids[rows], k)
         yield r, ids[rows][order], scores[order]
@@ -92,15 +111,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     Queries are the rows whose id is divisible by `every`; a query's own id is no candidate. Vectors that are null,
     zero or hold null or non-finite components take no part, nor do null ids. A query meets vectors of its own
-    dimension only. An empty table gives no rows.
+    dimension only. Repeated rows count as rows, and a query meets none of its own id. An empty table gives no rows.
     """
     vectors = clean_vectors(df, id_col, vector_col, allow_zero=False)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
-    fitted = sample.groupBy("dim").applyInPandas(lambda key, pdf: pd.DataFrame({"dim": [key[0]], "blob": [fit(pdf)]}), "dim int, blob binary").collect()
-    codebooks = {row.dim: bytes(row.blob) for row in fitted}
-    missing = F.col("dim").isin(*codebooks) if codebooks else F.lit(False)
-    rest = vectors.where(~missing).select("dim").distinct().limit(64).collect()
-    for row in rest:  # dimensions that the sample doesn't have
-        own = vectors.where(F.col("dim") == row.dim).limit(SAMPLE).toPandas()
-        codebooks[row.dim] = fit(own)
-    return search_shards(vectors, vectors.where(F.col("vec_id") % every == 0), _build(codebooks), search, k, "double", SHARD)
+    return search_shards(vectors, vectors.where(F.col("vec_id") % every == 0), build, search, k, "double", SHARD)

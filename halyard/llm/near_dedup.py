@@ -260,7 +260,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordina
     """Groups documents whose shingle sets have a Jaccard similarity of at least percent / 100.
 
     Returns one row per input row: id, n_shingles (distinct shingles), component_id (the smallest id of its
-    component, itself included) and kept (it is that id). A null, empty or wordless text has an empty set and is
+    component, itself included) and kept (it is that id). Links go by texts: rows of one id with several texts are
+    linked each by its own, and rows without an id are linked as well (a null id comes after all others; a component
+    without any id has component_id null). A null, empty or wordless text has an empty set and is
     linked with nothing, so its component is itself. Repeated rows stay rows of their own. Texts are taken whole,
     with A-Z lower-cased and words split at space and 0x09-0x0D. Other columns are ignored.
     """
@@ -273,7 +275,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordina
     classes = materialise(classes, "classes")
 
     postings = materialise(classes.select("cid", "sig").mapInArrow(_explode(coordinates), "cid long, key long"), "postings")
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    # A key or a hub may have a third of all rows. What is known of each is written before it meets the rows, so that
+    # both sides of the join come from fresh exchanges and adaptive execution splits an oversized partition.
+    shared = materialise(postings.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "shared")
     held = postings.join(shared, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "key"))).alias("own")).where(F.size("own") >= t)
     prefix = materialise(held.select("cid", F.explode(F.slice("own", F.lit(1), F.size("own") - t + 1)).alias("p")).select("cid", F.col("p.key").alias("key")), "prefix")
 
@@ -290,6 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordina
     # A list's hub is its first member in an order common to all lists. Two classes of one list meet in the group of
     # its hub, so the groups hold every candidate pair, and lists of the same hub are merged into one group.
     hubs = prefix.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    hubs = materialise(hubs, "hubs")
     groups = materialise(prefix.join(hubs, "key").select("hub", "cid").distinct(), "groups")
     spokes = groups.where("hub <> cid").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
     links = _confirm(spokes, classes, sets, t, coordinates, percent)
@@ -300,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, coordina
     sizes = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_groups = sizes.groupBy("hub").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("main")).where("m > main.n")
     open_groups = open_groups.select("hub", F.col("main.comp").alias("main"), F.ceil((F.col("m") - F.col("main.n")) / BLOCK).cast("int").alias("li"), F.ceil(F.col("m") / BLOCK).cast("int").alias("lj"))
-    rows = members.join(open_groups, "hub")
+    rows = members.join(materialise(open_groups, "open"), "hub")
     block = F.xxhash64("cid", F.lit(1))
     right = rows.select("hub", F.explode(F.sequence(F.lit(0), F.col("li") - 1)).alias("i"), F.pmod(block, "lj").cast("int").alias("j"), F.lit(1).alias("side"), "cid", "comp")
     left = rows.where("comp <> main").select("hub", F.pmod(block, "li").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("lj") - 1)).alias("j"), F.lit(0).alias("side"), "cid", "comp")

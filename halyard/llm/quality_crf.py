@@ -18,6 +18,8 @@ from halyard.llm._common import crc_fold, release, text_buffer, text_slices, who
 
 #: The fit reads at most so many labelled documents: those of the smallest hashes.
 TRAIN_DOCS = 4000
+#: And at most so many lines of a document, so that what reaches the driver is bounded (48 bytes a line).
+TRAIN_LINES = 400
 ROUNDS = 200
 #: Weight of the squared parameters against the mean log likelihood of a document.
 RIDGE = 1e-3
@@ -172,24 +174,31 @@ def document_scores(chain: Chain | float, data: np.ndarray, offsets: np.ndarray)
 
 
 def _train_features(batches):
+    """label, features of at most TRAIN_LINES lines of each text: those around the middle."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         for a, b in text_slices(offsets):
             f, _, per = line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             cuts = np.cumsum(per)[:-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.astype("<f4").tobytes() for x in np.split(f, cuts)])], ["label", "f"])
+            mine = [x[(n := max(0, len(x) - TRAIN_LINES) // 2) : n + TRAIN_LINES].astype("<f4").tobytes() for x in np.split(f, cuts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(mine)], ["label", "f"])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Chain | float:
     """Fits the chain to labels(doc_id, quality) of the documents whose crc32(doc_id) mod 3 is not 1.
 
-    At most train_docs labelled documents are read, those of the smallest hashes. Without labelled documents the
-    model is the constant 0.5, with labels of one kind only that label.
+    At most train_docs labelled ids are looked up, those of the smallest hashes, and at most train_docs texts of theirs
+    are read, with at most TRAIN_LINES lines each. Repeated rows of either table count once; an id with several texts
+    has them all learned; an id with both labels, or none of 0 and 1, and null ids are not learned from. Without
+    labelled documents, as with an empty table, the model is the constant 0.5, with labels of one kind only that label.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 3) != 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("label"))
-    some = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(train_docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(some), "_id").select("label", "text").mapInArrow(_train_features, "label int, f binary").collect()
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 3) != 1))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("_other")).where("label = _other")
+    some = known.orderBy(F.xxhash64("_id"), "_id").limit(train_docs).select("_id", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "_id")
+    texts = texts.withColumn("_own", F.xxhash64("_id", "text"))
+    few = texts.select("_own").distinct().orderBy("_own").limit(train_docs)
+    rows = texts.join(F.broadcast(few), "_own", "left_semi").dropDuplicates(["_own"]).select("label", "text").mapInArrow(_train_features, "label int, f binary").collect()
     if not rows:
         return 0.5
     label = np.array([r.label for r in rows])
@@ -217,7 +226,11 @@ def score_quality(docs: DataFrame, chain: Chain | float) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, chain: Chain | float) -> DataFrame:
-    """The rows of docs, all columns, whose text scores 0.5 or more."""
+    """The rows of docs, all columns, whose text scores 0.5 or more.
+
+    Null and empty texts count as one empty line. Rows go by their own texts, so null and repeated ids change nothing
+    and repeated rows share their fate. An empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def run(batches):

@@ -61,7 +61,7 @@ def search_shards(vectors: DataFrame, queries: DataFrame, build: Callable[[np.nd
 
     def call(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []})
         right = right.sort_values("vec_id", kind="stable")
         q = np.vstack(right.v.to_list()) if key[0] else np.zeros((len(right), 0))
         out = list(search(unpack(left["index"].iloc[0]), q, right.vec_id.to_numpy(), k))
