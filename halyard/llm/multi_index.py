@@ -35,8 +35,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     for _ in range(rounds):
         own = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
         n = np.bincount(own, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, own, x)
+        total = (own == np.arange(len(c))[:, None]).astype(float) @ x
         c[n > 0] = total[n > 0] / n[n > 0, None]
     return c
 
@@ -54,7 +53,7 @@ def _walk_length(x: np.ndarray, cell: np.ndarray, first: np.ndarray, second: np.
     for p in probes.tolist():
         scores = x @ x[p]
         scores[p] = -np.inf
-        near = np.argsort(-scores, kind="stable")[: min(NEAR, n - 1)]
+        near = best(scores, np.arange(n), min(NEAR, n - 1))
         sums = ((first @ x[p, :h])[:, None] + (second @ x[p, h:])[None, :]).ravel()
         order = np.argsort(-sums, kind="stable")
         met = np.empty_like(sizes)
