@@ -76,8 +76,13 @@ class FlatCollection:
         return self.live().isEmpty()
 
     def _check(self, rows: DataFrame) -> None:
-        if not rows.where(F.size("vector") != self.dim).isEmpty():
+        wrong = F.col("vector").isNull() | (F.size("vector") != self.dim)
+        bad = wrong | ~F.coalesce(is_finite("vector"), F.lit(False)) | F.coalesce(F.col("id") < 0, F.lit(True))
+        found = rows.where(bad).select(wrong.alias("wrong")).limit(1).collect()
+        if found and found[0].wrong:
             raise ValueError(f"vector dimension mismatch: expected {self.dim}")
+        if found:
+            raise ValueError("an id is null or negative, or a component isn't finite")
 
     def add(self, id: int, vector: list[float], strict: bool = False) -> FlatCollection:
         """Adds a point. A live id is an error; a deleted one comes back with the new vector, unless strict."""

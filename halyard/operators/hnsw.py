@@ -22,8 +22,11 @@ from halyard.operators.collection import POINTS
 from halyard.operators.search import RESULT, query_blocks
 from halyard.operators.sharding import splitmix64
 from halyard.operators.topk import best_columns, top_k_per_query
+from halyard.plans.storage import read_json, write_json
 
 SHARD_ROWS = 10_000
+#: Graphs aren't made smaller than this for the sake of more tasks.
+LEAST_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -121,13 +124,17 @@ class Graph:
         if top > high:
             self.entry = row
 
+    def extend(self, ids: np.ndarray, x: np.ndarray, seed: int = 0) -> Graph:
+        """Inserts rows one after the other into the graph as it stands."""
+        first = len(self.ids)
+        self.x, self.ids = np.concatenate([self.x, x]), self.ids + ids.tolist()
+        for row, top in enumerate(layers_of(ids, self.config.m, seed).tolist(), first):
+            self.insert(row, top)
+        return self
+
     @staticmethod
     def build(ids: np.ndarray, x: np.ndarray, config: HnswConfig, seed: int = 0) -> Graph:
-        g = Graph(x.shape[1], config)
-        g.x, g.ids = x, ids.tolist()
-        for row, top in enumerate(layers_of(ids, config.m, seed).tolist()):
-            g.insert(row, top)
-        return g
+        return Graph(x.shape[1], config).extend(ids, x, seed)
 
     def search(self, q: np.ndarray, ef: int) -> list[int]:
         """The places of the ef rows that the walk ends with."""
@@ -169,7 +176,7 @@ class Graph:
 
 @dataclass(frozen=True)
 class HnswIndex:
-    """points(id, vector), the graphs(shard, graph) built over them, and tombstones."""
+    """points(id, vector), the graphs(shard, graph) built over them, and tombstones. Rows go to one of `shards` by a hash of their id."""
 
     dim: int
     metric: str
@@ -177,6 +184,7 @@ class HnswIndex:
     points: DataFrame
     graphs: DataFrame | None
     tombstones: DataFrame
+    shards: int = 1
 
     @staticmethod
     def create(spark: SparkSession, dim: int, metric: str = "euclidean", config: HnswConfig | None = None) -> HnswIndex:
@@ -187,26 +195,73 @@ class HnswIndex:
         return HnswIndex(dim, metric_name(metric), config, spark.createDataFrame([], POINTS), None, spark.createDataFrame([], "id long"))
 
     def insert_batch(self, rows: DataFrame, shard_rows: int = SHARD_ROWS) -> HnswIndex:
-        """Adds rows(id, vector) and builds the graphs anew; repeated ids are an error."""
+        """Adds rows(id, vector); repeated ids are an error.
+
+        New rows are inserted into the graphs as they stand, each shard by one task. The graphs are built anew, over
+        more shards, once these would hold twice shard_rows rows on the average, and where a deleted id comes back.
+        """
         rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
         if not rows.where(F.size("vector") != self.dim).isEmpty():
             raise ValueError(f"vector dimension mismatch: expected {self.dim}")
         both = self.points.join(self.tombstones, "id", "left_anti").unionByName(rows)
         if not both.groupBy("id").count().where("count > 1").isEmpty():
             raise ValueError("duplicate id")
-        return replace(self, points=both, tombstones=self.tombstones.limit(0)).rebuild(shard_rows)
+        again = self.graphs is None or not rows.join(self.tombstones, "id", "left_semi").isEmpty()
+        if again or self.points.count() + rows.count() > 2 * shard_rows * self.shards:
+            return replace(self, points=both, tombstones=self.tombstones.limit(0)).rebuild(shard_rows)
+        dim, config = self.dim, self.config
+
+        def grow(key: tuple, held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            graph = Graph.unpack(held.graph.iloc[0], config) if len(held) else Graph(dim, config)
+            if len(new):
+                new = new.sort_values("id")
+                graph.extend(new.id.to_numpy(), np.array(new.vector.to_list(), float))
+            return pd.DataFrame({"shard": [key[0]], "graph": [graph.pack()]})
+
+        dealt = rows.withColumn("shard", self._shard(self.shards))
+        graphs = self.graphs.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(grow, "shard int, graph binary")
+        return replace(self, points=self.points.unionByName(rows), graphs=graphs.cache())
+
+    @staticmethod
+    def _shard(shards: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
 
     def rebuild(self, shard_rows: int = SHARD_ROWS) -> HnswIndex:
+        """Builds the graphs of all points: shards of shard_rows at most on the average, and smaller ones, down to LEAST_ROWS, while cores are free."""
         n, config = self.points.count(), self.config
-        shards = -(-n // shard_rows) or 1
+        cores = self.points.sparkSession.sparkContext.defaultParallelism
+        shards = -(-n // min(shard_rows, max(LEAST_ROWS, -(-n // cores)))) or 1
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id")
             graph = Graph.build(pdf.id.to_numpy(), np.array(pdf.vector.to_list(), float), config)
             return pd.DataFrame({"shard": [key[0]], "graph": [graph.pack()]})
 
-        graphs = self.points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, graph binary")
-        return replace(self, graphs=graphs.cache())
+        dealt = self.points.withColumn("shard", self._shard(shards)).repartition(shards, "shard")
+        graphs = dealt.groupBy("shard").applyInPandas(build, "shard int, graph binary")
+        self.release()
+        return replace(self, graphs=graphs.cache(), shards=shards)
+
+    def release(self) -> None:
+        """Gives back the memory that keeps the graphs; they are built again when asked for."""
+        if self.graphs is not None:
+            self.graphs.unpersist()
+
+    def save(self, path: str) -> None:
+        """Writes points, graphs, tombstones and configuration."""
+        spark = self.points.sparkSession
+        self.points.write.parquet(f"{path}/points")
+        (spark.createDataFrame([], "shard int, graph binary") if self.graphs is None else self.graphs).write.parquet(f"{path}/graphs")
+        self.tombstones.write.parquet(f"{path}/tombstones")
+        write_json(spark, f"{path}/index.json", {"dim": self.dim, "metric": self.metric, "config": self.config.__dict__, "shards": self.shards, "built": self.graphs is not None})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> HnswIndex:
+        """The index that save() wrote; its graphs are read, not built."""
+        held = read_json(spark, f"{path}/index.json")
+        graphs = spark.read.schema("shard int, graph binary").parquet(f"{path}/graphs") if held["built"] else None
+        points, tombstones = spark.read.schema(POINTS).parquet(f"{path}/points"), spark.read.schema("id long").parquet(f"{path}/tombstones")
+        return HnswIndex(held["dim"], held["metric"], HnswConfig(**held["config"]), points, graphs, tombstones, held["shards"])
 
     def delete(self, id: int) -> HnswIndex:
         """The row stays in the graph, where walks cross it, and is left out of results."""
@@ -242,6 +297,25 @@ class HnswIndex:
             return self.points.sparkSession.createDataFrame([], "shard int, node int, id long, max_layer int, neighbours array<array<int>>")
         return self.graphs.mapInPandas(run, "shard int, node int, id long, max_layer int, neighbours array<array<int>>")
 
+    def internal_index_of(self, id: int) -> tuple[int, int] | None:
+        """The shard and the node of an id, deleted ones too."""
+        row = self.nodes().where(F.col("id") == id).select("shard", "node").first()
+        return None if row is None else (row.shard, row.node)
+
+    def entry_points(self) -> DataFrame:
+        """(shard, node, id, max_layer) at which the walks of each shard start: a node of its highest layer."""
+        config = self.config
+
+        def run(pdfs):
+            for pdf in pdfs:
+                for shard, blob in zip(pdf.shard, pdf.graph, strict=True):
+                    g = Graph.unpack(blob, config)
+                    if g.entry is not None:
+                        yield pd.DataFrame({"shard": [shard], "node": [g.entry], "id": [g.ids[g.entry]], "max_layer": [len(g.neighbours[g.entry]) - 1]})
+
+        schema = "shard int, node int, id long, max_layer int"
+        return self.points.sparkSession.createDataFrame([], schema) if self.graphs is None else self.graphs.mapInPandas(run, schema)
+
     def max_layer_distribution(self) -> DataFrame:
         return self.nodes().groupBy("max_layer").agg(F.count(F.lit(1)).alias("count"))
 

@@ -6,14 +6,16 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.functions.vector import larger_is_better, metric_name, score
+from halyard.functions.vector import larger_is_better, matrix, metric_name, score
 from halyard.operators.collection import POINTS, FlatCollection
 from halyard.operators.kmeans import KMeansConfig, assign, assign_column, centroid_table, kmeans
 from halyard.operators.search import RESULT, query_blocks, scan_top_k
 from halyard.operators.topk import top_k_largest, top_k_per_query, top_k_smallest
+from halyard.plans.storage import read_json, write_json
 
 
 def nearest_centroid(vector: list[float], centroids: np.ndarray) -> int:
@@ -27,12 +29,18 @@ def nearest_clusters(query: list[float] | np.ndarray, centroids: np.ndarray, npr
 
 
 def probe_table(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """(qid, vector, cluster_id) of each query's nprobe nearest clusters; the centroids are few and go to all tasks."""
-    gap = F.sum(F.pow(F.col("pair.v") - F.col("pair.c"), 2)).alias("gap")
-    pairs = queries.crossJoin(F.broadcast(centroids)).select("qid", "vector", "cluster_id", F.explode(F.zip_with("vector", "centroid", lambda v, c: F.struct(v.cast("double").alias("v"), c.alias("c")))).alias("pair"))
-    gaps = pairs.groupBy("qid", "cluster_id").agg(gap, F.first("vector").alias("vector"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("gap", "cluster_id"))
-    return gaps.withColumn("place", place).where(F.col("place") <= nprobe).select("qid", "vector", "cluster_id")
+    """(qid, vector, cluster_id) of each query's nprobe nearest clusters: a map over the queries, the centroids go along."""
+    rows = centroids.orderBy("cluster_id").collect()
+    numbers, places = np.array([r.cluster_id for r in rows], np.int32), np.array([r.centroid for r in rows], float)
+
+    def run(batches):
+        for batch in batches:
+            own = [nearest_clusters(q, places, nprobe) for q in matrix(batch.column(1), places.shape[1])]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(o) for o in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[[c for o in own for c in o]])], ["qid", "vector", "cluster_id"])
+
+    wide = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
+    return wide.mapInArrow(run, "qid long, vector array<double>, cluster_id int") if rows and nprobe > 0 else wide.withColumn("cluster_id", F.lit(0)).limit(0)
 
 
 @dataclass(frozen=True)
@@ -110,8 +118,21 @@ class IVFIndex:
         return every.join(sizes, "cluster_id", "left").select("cluster_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
     def save(self, path: str) -> None:
-        """Writes the postings into one folder for each cluster, so that a search reads those it probes."""
-        self.live().repartition("cluster_id").write.partitionBy("cluster_id").parquet(path)
+        """Writes the live postings into one folder for each cluster, so that a search reads those it probes, and the model.
+
+        Rows are dealt by cluster and a hash of the id, so a large cluster becomes several files of several tasks.
+        """
+        deal = F.pmod(F.xxhash64("id"), F.lit(16))
+        self.live().repartition("cluster_id", deal).write.partitionBy("cluster_id").parquet(f"{path}/postings")
+        write_json(self.postings.sparkSession, f"{path}/model.json", {"dim": self.dim, "clusters": self.clusters, "metric": self.metric, "centroids": None if self.centroids is None else self.centroids.tolist()})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IVFIndex:
+        """The index that save() wrote, over its folders."""
+        model = read_json(spark, f"{path}/model.json")
+        postings = spark.read.schema(POINTS + ", cluster_id int").parquet(f"{path}/postings")
+        centroids = None if model["centroids"] is None else np.array(model["centroids"], float)
+        return IVFIndex(model["dim"], model["clusters"], model["metric"], centroids, postings, spark.createDataFrame([], "id long"))
 
     def nprobe_coverage(self, query: list[float], nprobe: int) -> int:
         """How many rows a search with nprobe compares."""

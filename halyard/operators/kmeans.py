@@ -37,9 +37,16 @@ class KMeansResult:
 def nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The nearest centroid of each row, ties to the lowest."""
     out = np.empty(len(points), np.int64)
+    squares = (centroids**2).sum(1)
     for a in range(0, len(points), 4096):
         part = points[a : a + 4096]
-        out[a : a + 4096] = ((part[:, None, :] - centroids[None]) ** 2).sum(2).argmin(1) if len(centroids) * part.size <= 1 << 24 else np.stack([((part - c) ** 2).sum(1) for c in centroids], 1).argmin(1)
+        gap = squares - 2 * (part @ centroids.T)
+        own = gap.argmin(1)
+        # Rows that the products' rounding leaves open are computed from the differences.
+        slack = 1e-15 * 4 * ((part**2).sum(1) + squares.max()) * part.shape[1]
+        for i in np.flatnonzero((gap <= (gap[np.arange(len(part)), own] + slack)[:, None]).sum(1) > 1).tolist():
+            own[i] = ((part[i] - centroids) ** 2).sum(1).argmin()
+        out[a : a + 4096] = own
     return out
 
 
@@ -86,13 +93,14 @@ def _sums(points: DataFrame, centroids: np.ndarray) -> list:
         for batch in batches:
             x = matrix(batch.column(0), centroids.shape[1])
             own = nearest(x, centroids)
-            np.add.at(total, own, x)
+            total += (own == np.arange(len(centroids))[:, None]).astype(float) @ x
             n += np.bincount(own, minlength=len(centroids))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(total.tolist(), pa.list_(pa.float64()))], ["c", "n", "total"])
 
     parts = points.select(F.col("vector").cast("array<double>")).mapInArrow(run, "c int, n long, total array<double>")
-    # A row for each component: rounded sums make the result the same whatever the order of the parts.
-    flat = parts.select("c", "n", F.posexplode("total").alias("i", "x")).groupBy("c", "i").agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,12)")).cast("double").alias("x"))
+    # A row for each component, summed in sorted order: the result is the same whatever the order of the parts.
+    whole = F.aggregate(F.array_sort(F.collect_list("x")), F.lit(0.0), lambda a, b: a + b)
+    flat = parts.select("c", "n", F.posexplode("total").alias("i", "x")).groupBy("c", "i").agg(F.sum("n").alias("n"), whole.alias("x"))
     return flat.groupBy("c").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs")).collect()
 
 

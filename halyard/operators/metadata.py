@@ -8,7 +8,6 @@ missing field or a wrong type is false, its negation true; an id without any met
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +35,13 @@ class Filter:
     def compile(self, meta: Column) -> Column:
         raise NotImplementedError
 
+    def fields(self) -> set[str]:
+        """The fields that the expression reads."""
+        found = set()
+        for part in self.__dict__.values():
+            found |= part.fields() if isinstance(part, Filter) else set()
+        return found | ({self.field} if "field" in self.__dict__ else set())
+
     def __and__(self, other: Filter) -> Filter:
         return And(self, other)
 
@@ -144,6 +150,11 @@ def parse_filter(expr: tuple | Filter) -> Filter:
     return node(expr[1], expr[2])
 
 
+def _value() -> Column:
+    """A tagged value as one struct."""
+    return F.struct("kind", "int_val", "float_val", "str_val", "bool_val")
+
+
 @dataclass(frozen=True)
 class MetadataStore:
     """A table of metadata; changes return a new store. Of repeated fields of an id, the row of the highest seq counts."""
@@ -157,15 +168,16 @@ class MetadataStore:
     @staticmethod
     def from_columns(df: DataFrame, id_col: str, fields: list[str]) -> MetadataStore:
         """Each column of fields becomes a field; nulls are missing fields."""
-        kinds = dict(df.dtypes)
-        parts = []
+        kinds, entries = dict(df.dtypes), []
+        held = {"int": ("int_val", "long"), "float": ("float_val", "double"), "str": ("str_val", "string"), "bool": ("bool_val", "boolean")}
         for f in fields:
-            c, t = F.col(f), kinds[f]
+            t = kinds[f]
             kind = "bool" if t == "boolean" else "int" if t in ("tinyint", "smallint", "int", "bigint") else "str" if t == "string" else "float"
-            held = {"int": ("int_val", "long"), "float": ("float_val", "double"), "str": ("str_val", "string"), "bool": ("bool_val", "boolean")}
-            values = [(c if k == kind else F.lit(None)).cast(kt).alias(n) for k, (n, kt) in held.items()]
-            parts.append(df.where(c.isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lit(f).alias("field"), F.lit(kind).alias("kind"), *values, F.lit(0).cast("long").alias("seq")))
-        return MetadataStore(reduce(DataFrame.unionByName, parts))
+            values = [(F.col(f) if k == kind else F.lit(None)).cast(kt).alias(n) for k, (n, kt) in held.items()]
+            entries.append(F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(kind).alias("kind"), *values)))
+        # One pass over the table, whatever the number of fields.
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        return MetadataStore(rows.select("id", "e.*", F.lit(0).cast("long").alias("seq")))
 
     def set(self, id: int, field: str, value: Value) -> MetadataStore:
         top = self.rows.agg(F.max("seq")).first()[0]
@@ -173,12 +185,13 @@ class MetadataStore:
         return MetadataStore(self.rows.unionByName(row))
 
     def latest(self) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("id", "field").orderBy(F.col("seq").desc()))
-        return self.rows.withColumn("_place", place).where("_place = 1").drop("_place", "seq")
+        """The last value of each field of each id: a grouped maximum with map-side partial results."""
+        last = self.rows.groupBy("id", "field").agg(F.max_by(_value(), "seq").alias("v"))
+        return last.select("id", "field", "v.*")
 
     def maps(self) -> DataFrame:
         """(id, meta): the fields of each id as a map from name to tagged value."""
-        value = F.struct("kind", "int_val", "float_val", "str_val", "bool_val")
+        value = _value()
         return self.latest().groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("field").alias("key"), value.alias("value")))).alias("meta"))
 
     def get_all(self, id: int) -> dict[str, Value] | None:
@@ -198,8 +211,15 @@ class MetadataStore:
         return self.rows.isEmpty()
 
     def matching(self, expr: tuple | Filter) -> DataFrame:
-        """The ids that match; those without metadata are not among them, even under `not`."""
-        return self.maps().where(parse_filter(expr).compile(F.col("meta"))).select("id")
+        """The ids that match; those without metadata are not among them, even under `not`.
+
+        One grouped pass that carries the last values of the filter's own fields only.
+        """
+        tree = parse_filter(expr)
+        names = sorted(tree.fields())
+        last = [F.max_by(_value(), F.when(F.col("field") == f, F.col("seq"))).alias(f"v{i}") for i, f in enumerate(names)]
+        meta = F.create_map(*(x for i, f in enumerate(names) for x in (F.lit(f), F.col(f"v{i}"))))
+        return self.rows.groupBy("id").agg(*last).where(tree.compile(meta)).select("id")
 
     def matches(self, id: int, expr: tuple | Filter) -> bool:
         return not self.matching(expr).where(F.col("id") == id).isEmpty()

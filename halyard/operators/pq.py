@@ -16,6 +16,7 @@ from halyard.operators.ivf import nearest_clusters
 from halyard.operators.kmeans import SEED_SAMPLE, KMeansConfig, kmeans, nearest, plus_plus
 from halyard.operators.search import RESULT, query_blocks
 from halyard.operators.topk import best_columns, top_k_per_query, top_k_smallest
+from halyard.plans.storage import read_json, write_json
 
 
 @dataclass(frozen=True)
@@ -116,8 +117,7 @@ def train_pq(data: DataFrame, config: PQConfig | None = None, seed: int = 42) ->
         c = plus_plus(x, config.k, seed + key[0])
         for _ in range(config.iterations):
             own = nearest(x, c)
-            n, total = np.bincount(own, minlength=len(c)), np.zeros_like(c)
-            np.add.at(total, own, x)
+            n, total = np.bincount(own, minlength=len(c)), (own == np.arange(len(c))[:, None]).astype(float) @ x
             moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
             gap = np.sqrt(((moved - c) ** 2).sum(1)).sum()
             c = moved
@@ -233,6 +233,20 @@ class IVFPQIndex:
         sizes = self.codes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
         return every.join(sizes, "cluster_id", "left").select("cluster_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
+    def save(self, path: str) -> None:
+        """Writes the live codes into one folder for each cluster, and the model; the vectors themselves aren't kept."""
+        centroids, books = self._trained()
+        deal = F.pmod(F.xxhash64("id"), F.lit(16))
+        self.live().repartition("cluster_id", deal).write.partitionBy("cluster_id").parquet(f"{path}/codes")
+        write_json(self.codes.sparkSession, f"{path}/model.json", {"dim": self.dim, "clusters": self.clusters, "config": self.config.__dict__, "centroids": centroids.tolist(), "books": books.values.tolist()})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IVFPQIndex:
+        """The index that save() wrote; a search reads the folders of the clusters that it probes."""
+        model = read_json(spark, f"{path}/model.json")
+        codes = spark.read.schema("id long, code binary, cluster_id int").parquet(f"{path}/codes")
+        return replace(IVFPQIndex.create(spark, model["dim"], model["clusters"], PQConfig(**model["config"])).with_model(np.array(model["centroids"]), Codebooks(np.array(model["books"]))), codes=codes)
+
     def memory_footprint_bytes(self) -> int:
         """Codes, centroids and codebooks, at 4 bytes a number."""
         return self.total_records() * self.config.m + self.clusters * self.dim * 4 + self.config.m * self.config.k * (self.dim // self.config.m) * 4

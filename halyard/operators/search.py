@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.vector import check_dim, larger_is_better, literal_vector, matrix, metric_name, score, score_matrix
-from halyard.operators.topk import best_columns, top_k_largest, top_k_per_query, top_k_smallest
+from halyard.operators.topk import best_of_rows, top_k_largest, top_k_per_query, top_k_smallest
 
 #: Queries that are sent to the tasks at once; more of them are searched block after block.
 QUERY_BLOCK = 2048
@@ -31,11 +31,12 @@ def search(points: DataFrame, query: list[float], k: int, metric: str = "euclide
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK):
     """Blocks of (ids, matrix) of queries(qid, vector); a block holds about `size` rows and is what reaches the driver."""
-    n = queries.count()
-    blocks = -(-n // size) or 1
+    rows = queries.select("qid", "vector").limit(size + 1).collect()
+    blocks = 1 if len(rows) <= size else -(-queries.count() // size)
     for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = sorted(part.select("qid", "vector").collect(), key=lambda r: r.qid)
+        if blocks > 1:
+            rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector").collect()
+        rows = sorted(rows, key=lambda r: r.qid)
         if rows:
             yield np.array([r.qid for r in rows], np.int64), np.array([r.vector for r in rows], float).reshape(len(rows), -1)
 
@@ -46,20 +47,18 @@ def scan_top_k(points: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int,
     step = max(64, (4 << 20) // max(1, len(queries)))
 
     def run(batches):
-        kept_ids = [np.zeros(0, np.int64)] * len(qids)
-        kept = [np.zeros(0)] * len(qids)
+        kept_ids, kept = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
         for batch in batches:
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 scores = score_matrix(metric, queries, matrix(part.column(1), dim))
-                for i in range(len(qids)):
-                    own = best_columns(scores[i], ids, k, largest)
-                    all_ids, all_scores = np.concatenate([kept_ids[i], ids[own]]), np.concatenate([kept[i], scores[i][own]])
-                    order = best_columns(all_scores, all_ids, k, largest)
-                    kept_ids[i], kept[i] = all_ids[order], all_scores[order]
+                kept_ids = np.concatenate([kept_ids, np.broadcast_to(ids, scores.shape)], 1)
+                kept = np.concatenate([kept, scores], 1)
+                order = best_of_rows(kept, kept_ids, k, largest)
+                kept_ids, kept = np.take_along_axis(kept_ids, order, 1), np.take_along_axis(kept, order, 1)
         if qids.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(x) for x in kept_ids])), pa.array(np.concatenate(kept_ids)), pa.array(np.concatenate(kept))], ["qid", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, kept.shape[1])), pa.array(kept_ids.ravel()), pa.array(kept.ravel())], ["qid", "id", "score"])
 
     return points.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, "qid long, id long, score double")
 

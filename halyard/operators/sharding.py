@@ -11,10 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.functions.vector import larger_is_better
-from halyard.operators.collection import FlatCollection
-from halyard.operators.search import query_blocks, scan_top_k
-from halyard.operators.topk import top_k_per_query
+from halyard.operators.collection import POINTS, FlatCollection
+from halyard.plans.storage import read_json, write_json
 
 
 def splitmix64(ids: np.ndarray) -> np.ndarray:
@@ -44,6 +42,8 @@ class ShardedCollection:
 
     flat: FlatCollection
     shards: int
+    #: Points with their shard, as folders, if the collection was loaded and nothing was added since.
+    saved: DataFrame | None = None
 
     @staticmethod
     def create(spark: SparkSession, dim: int, shards: int, metric: str = "euclidean") -> ShardedCollection:
@@ -52,10 +52,10 @@ class ShardedCollection:
         return ShardedCollection(FlatCollection.create(spark, dim, metric), shards)
 
     def add(self, id: int, vector: list[float]) -> ShardedCollection:
-        return replace(self, flat=self.flat.add(id, vector, strict=True))
+        return replace(self, flat=self.flat.add(id, vector, strict=True), saved=None)
 
     def add_batch(self, rows: DataFrame) -> ShardedCollection:
-        return replace(self, flat=self.flat.add_batch(rows))
+        return replace(self, flat=self.flat.add_batch(rows), saved=None)
 
     def points(self) -> DataFrame:
         """Live points with their shard."""
@@ -71,8 +71,33 @@ class ShardedCollection:
         return every.join(sizes, "shard", "left").select("shard", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
     def save(self, path: str) -> None:
-        """Writes the points into one folder for each shard."""
-        self.points().repartition("shard").write.partitionBy("shard").parquet(path)
+        """Writes the live points into one folder for each shard, and what load() needs."""
+        self.points().repartition("shard").write.partitionBy("shard").parquet(f"{path}/points")
+        write_json(self.flat.spark, f"{path}/collection.json", {"dim": self.flat.dim, "shards": self.shards, "metric": self.flat.metric})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ShardedCollection:
+        """The collection that save() wrote; point lookups read one shard's folder."""
+        held = read_json(spark, f"{path}/collection.json")
+        points = spark.read.schema(POINTS + ", shard int").parquet(f"{path}/points")
+        flat = FlatCollection(points.select("id", "vector"), spark.createDataFrame([], "id long"), held["dim"], held["metric"])
+        return ShardedCollection(flat, held["shards"], points)
+
+    @property
+    def dim(self) -> int:
+        return self.flat.dim
+
+    @property
+    def metric(self) -> str:
+        return self.flat.metric
+
+    def is_empty(self) -> bool:
+        return self.flat.is_empty()
+
+    def lookup(self, id: int) -> DataFrame:
+        """(id, vector) of a live point: from the folder of its shard alone, where the collection was loaded."""
+        rows = self.flat.live() if self.saved is None else self.saved.where(F.col("shard") == int(splitmix64(np.array([id]))[0] % np.uint64(self.shards))).join(self.flat.tombstones, "id", "left_anti")
+        return rows.where(F.col("id") == id).select("id", "vector")
 
     def search(self, query: list[float], k: int, parallel: bool = True) -> DataFrame:
         """(rank, id, score). Tasks search their rows at the same time whatever `parallel` says; it is accepted for its name."""
@@ -80,11 +105,7 @@ class ShardedCollection:
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, rank, id, score): local lists of every task, then one merge."""
-        parts = None
-        for qids, x in query_blocks(queries):
-            own = top_k_per_query(scan_top_k(self.flat.live(), qids, x, k, self.flat.metric), k, larger_is_better(self.flat.metric))
-            parts = own if parts is None else parts.unionByName(own)
-        return parts if parts is not None else self.flat.search_batch(queries, k)
+        return self.flat.search_batch(queries, k)
 
 
 class ConcurrentCollection:

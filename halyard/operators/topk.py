@@ -47,3 +47,18 @@ def best_columns(scores: np.ndarray, ids: np.ndarray, k: int, largest: bool) ->
     else:
         held = np.arange(n)
     return held[np.lexsort((ids[held], key[held]))][: max(k, 0)]
+
+
+def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int, largest: bool) -> np.ndarray:
+    """Positions of the k best of every row of scores; all rows at once, but for those where ties cross the edge."""
+    n, k = scores.shape[1], max(k, 0)
+    if n <= k:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    if not k:
+        return np.zeros((len(scores), 0), np.int64)
+    key = np.where(np.isnan(scores), -np.inf, -scores) if largest else scores
+    out = np.argpartition(key, k - 1, 1)[:, :k]
+    edge = np.take_along_axis(key, out, 1).max(1)
+    for i in np.flatnonzero(((key <= edge[:, None]).sum(1) != k) | np.isnan(edge)).tolist():
+        out[i] = best_columns(scores[i], ids[i], k, largest)
+    return out

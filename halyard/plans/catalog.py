@@ -1,13 +1,13 @@
 """Named collections on shared storage: versioned snapshots, an append-only operation log, and the engine over them.
 
-A collection is a folder with `log` (Parquet files of ops(seq, op, id, vector)) and `v=N` snapshots. The registry file
+A collection is a folder with `log/N` (Parquet files of the ops(seq, op, id, vector) after version N) and `v=N`
+snapshots. The registry file
 of a collection names its current version and the last operation in it. A snapshot is complete before the registry
 names it, and operations up to that one are skipped on reading, so a crash at any point loses and repeats nothing.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from dataclasses import dataclass
@@ -20,6 +20,7 @@ from halyard.operators.collection import POINTS, FlatCollection, latest_points
 from halyard.operators.hnsw import HnswIndex
 from halyard.operators.ivf import IVFIndex
 from halyard.operators.pq import IVFPQIndex, PQConfig
+from halyard.plans.storage import file_system, read_json, write_json
 
 OPS = "seq long, op string, id long, vector array<float>"
 INDEX_TYPES = ("flat", "ivf", "hnsw", "ivfpq")
@@ -41,11 +42,13 @@ def validate_vector(vector: list[float], dim: int) -> list[float]:
     return [float(x) for x in vector]
 
 
-def validate_search(k: int, ef: int = 50) -> None:
+def validate_search(k: int, ef: int = 50, nprobe: int = 1) -> None:
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     if not 1 <= ef <= MAX_EF:
         raise ValueError(f"ef must be between 1 and {MAX_EF}")
+    if nprobe < 0:
+        raise ValueError("nprobe must not be negative")
 
 
 class NotFound(KeyError):
@@ -74,15 +77,11 @@ class Engine:
         self._built: dict[tuple[str, int, int], HnswIndex | IVFIndex | IVFPQIndex] = {}
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        return file_system(self.spark, path)
 
     def _write_info(self, info: Info) -> None:
+        write_json(self.spark, f"{self.root}/{info.name}/.registry.tmp", info.__dict__)
         fs, tmp = self._fs(f"{self.root}/{info.name}/.registry.tmp")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(info.__dict__).encode()))
-        out.close()
         _, final = self._fs(f"{self.root}/{info.name}/registry.json")
         fs.delete(final, False)
         fs.rename(tmp, final)
@@ -92,10 +91,7 @@ class Engine:
         for file in ("registry.json", ".registry.tmp"):  # the second, if a swap was cut off between its two steps
             fs, p = self._fs(f"{self.root}/{name}/{file}")
             if fs.exists(p):
-                stream = fs.open(p)
-                raw = bytes(stream.readAllBytes())
-                stream.close()
-                return Info(**json.loads(raw))
+                return Info(**read_json(self.spark, f"{self.root}/{name}/{file}"))
         raise NotFound(name)
 
     def create_collection(self, name: str, dim: int, index_type: str = "flat", metric: str = "euclidean") -> Info:
@@ -126,8 +122,10 @@ class Engine:
         fs.delete(p, True)
 
     def _log(self, info: Info) -> DataFrame:
-        fs, p = self._fs(f"{self.root}/{info.name}/log")
-        ops = self.spark.read.schema(OPS).parquet(f"{self.root}/{info.name}/log") if fs.exists(p) else self.spark.createDataFrame([], OPS)
+        """The operations after the snapshot; each version has a log folder of its own."""
+        path = f"{self.root}/{info.name}/log/{info.version}"
+        fs, p = self._fs(path)
+        ops = self.spark.read.schema(OPS).parquet(path) if fs.exists(p) else self.spark.createDataFrame([], OPS)
         return ops.where(F.col("seq") > info.seq)
 
     def points(self, name: str) -> DataFrame:
@@ -141,7 +139,7 @@ class Engine:
         """Appends one batch of rows(id, vector); its file appears at once or not at all."""
         info = self.info(name)
         top = self._log(info).agg(F.max("seq")).first()[0] or info.seq
-        rows.select(F.lit(top + 1).cast("long").alias("seq"), F.lit(op).alias("op"), "id", "vector").write.mode("append").parquet(f"{self.root}/{name}/log")
+        rows.select(F.lit(top + 1).cast("long").alias("seq"), F.lit(op).alias("op"), "id", "vector").write.mode("append").parquet(f"{self.root}/{name}/log/{info.version}")
 
     def insert(self, name: str, id: int, vector: list[float]) -> None:
         info = self.info(name)
@@ -166,12 +164,21 @@ class Engine:
         self._append(name, self.spark.createDataFrame([(id, None)], POINTS), "delete")
 
     def checkpoint(self, name: str) -> Info:
-        """Writes the live points as the next version, then names it."""
+        """Writes the live points as the next version, names it, and then drops the older versions and their logs.
+
+        Readers of the version before keep what they have read; the one just replaced stays until the next checkpoint.
+        """
         info = self.info(name)
         top = self._log(info).agg(F.max("seq")).first()[0] or info.seq
         self.points(name).write.mode("overwrite").parquet(f"{self.root}/{name}/v={info.version + 1}")
         info = Info(name, info.dim, info.index_type, info.metric, info.version + 1, top)
         self._write_info(info)
+        for folder, keep in (("log", lambda n: n), ("", lambda n: n.removeprefix("v=") if n.startswith("v=") else "")):
+            fs, p = self._fs(f"{self.root}/{name}/{folder}".rstrip("/"))
+            for status in fs.listStatus(p) if fs.exists(p) else []:
+                number = keep(status.getPath().getName())
+                if number.isdigit() and int(number) < info.version - 1:
+                    fs.delete(status.getPath(), True)
         return info
 
     def checkpoint_all(self) -> dict[str, str]:
@@ -187,7 +194,7 @@ class Engine:
     def search(self, name: str, query: list[float], k: int, ef: int = 50, nprobe: int = 1) -> DataFrame:
         """(rank, id, score)."""
         info = self.info(name)
-        validate_search(k, ef)
+        validate_search(k, ef, nprobe)
         query = validate_vector(query, info.dim)
         points = self.points(name)
         if info.index_type == "flat":
