@@ -25,12 +25,17 @@ from halyard.operators.pq import Codebooks, IVFPQIndex, PQConfig, encode_table,
 from halyard.operators.search import scan_top_k, search_batch
 from halyard.operators.sharding import ShardedCollection, shard_for_id
 from halyard.operators.textstore import TextStore
+from halyard.plans.catalog import Engine
+from halyard.plans.storage import scratch_dir
+from halyard.sources import vecs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIM, K = 64, 10
 
 _P = "p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 7)) AS v FROM embeddings)"
+#: Collections keep single precision.
+_SINGLE = _P.replace("CAST(x AS DOUBLE) * (1 + vec_id % 7)", "CAST(CAST(CAST(x AS DOUBLE) * (1 + vec_id % 7) AS FLOAT) AS DOUBLE)")
 _Q = "q AS (SELECT id AS qid, v FROM p WHERE id % 50 = 0)"
 _SCORES = {
     "euclidean": "sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - p.v[i]) * (q.v[i] - p.v[i]))))",
@@ -61,10 +66,6 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)).alias("vector"))
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "vector")
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumn("score", F.round("score", digits))
 
@@ -120,18 +121,15 @@ def topk_merge(spark, sf_dir):
 
 
 def _flat(metric: str) -> None:
-    @query(_sql(metric, "WHERE q.qid = 0").replace("SELECT qid, CAST(rank", "SELECT CAST(rank"))
+    @query(_sql(metric, "WHERE q.qid = 0").replace("SELECT qid, CAST(rank", "SELECT CAST(rank").replace(_P, _SINGLE))
     def one(spark, sf_dir):
         c = FlatCollection.from_table(points(spark, sf_dir), "id", "vector", DIM, metric)
-        q = points(spark, sf_dir).where("id = 0").first().vector
-        # The table holds single precision; scoring goes over the doubles.
-        from halyard.operators.search import search
-
-        return rounded(search(points(spark, sf_dir), q, K, c.metric))
+        return rounded(c.search(c.get_vector(0), K))
 
-    @query(_sql(metric))
+    @query(_sql(metric).replace(_P, _SINGLE))
     def many(spark, sf_dir):
-        return rounded(search_batch(points(spark, sf_dir), asked(spark, sf_dir), K, metric))
+        c = FlatCollection.from_table(points(spark, sf_dir), "id", "vector", DIM, metric)
+        return rounded(c.search_batch(c.points.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector"), K))
 
     for f, name in ((one, f"flat_topk_{metric}"), (many, f"flat_topk_batch_{metric}")):
         QUERIES[name], ORACLES[name] = QUERIES.pop(f.__name__), ORACLES.pop(f.__name__)
@@ -170,6 +168,18 @@ def flat_update_search(spark, sf_dir):
     return rounded(search_batch(latest_points(first.unionByName(second)), _plain_queries(spark, sf_dir), K))
 
 
+_CHANGED = "p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN vec_id = 5 THEN -1 ELSE 1 END * CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id <> 3 UNION ALL SELECT CAST(1000000 AS BIGINT), list_transform(range(64), lambda i: CAST(0.125 AS DOUBLE)))"
+
+
+@query(_f32("euclidean", p=_CHANGED))
+def flat_change_search(spark, sf_dir):
+    """A batch, a point, a delete, an update and a compaction, each through the collection."""
+    c = FlatCollection.create(spark, DIM).add_batch(_collection(spark, sf_dir).points)
+    c = c.add(1_000_000, [0.125] * DIM).delete(3)
+    c = c.update(5, [-x for x in c.get_vector(5)]).compact()
+    return rounded(c.search_batch(c.live().where("id % 50 = 0").select(F.col("id").alias("qid"), "vector"), K))
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE vec_id % 3 <> 0) AS live, count(*) FILTER (WHERE vec_id % 3 <> 0) AS compacted FROM embeddings")
 def flat_compact_count(spark, sf_dir):
     c = _collection(spark, sf_dir)
@@ -180,12 +190,13 @@ def flat_compact_count(spark, sf_dir):
 
 @query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings WHERE vec_id = 7")
 def flat_point_lookup(spark, sf_dir):
-    return _collection(spark, sf_dir).live().where("id = 7").select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+    found = _collection(spark, sf_dir).get_vector(7)
+    return spark.createDataFrame([] if found is None else [(7, [round(x, 6) for x in found])], "id long, vector array<double>")
 
 
 # Metadata.
 
-_META = "m AS (SELECT d.doc_id AS id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 11 <> 0)"
+_META = "m AS (SELECT d.doc_id AS id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 
 def _store(spark: SparkSession, sf_dir: str) -> MetadataStore:
@@ -219,9 +230,23 @@ for _name in _FILTERS:
     _meta(_name)
 
 
-@query("SELECT count(DISTINCT doc_id) AS ids FROM documents WHERE doc_id % 11 <> 0")
+@query("SELECT count(DISTINCT doc_id) AS ids FROM documents")
 def meta_count(spark, sf_dir):
-    return _store(spark, sf_dir).rows.agg(F.countDistinct("id").alias("ids"))
+    return spark.createDataFrame([(len(_store(spark, sf_dir)),)], "ids long")
+
+
+@query(f"WITH {_META} SELECT id FROM m WHERE (lang = 'en' OR id = 2) AND id NOT IN (1, 4)")
+def meta_set_remove(spark, sf_dir):
+    """A field that is set again counts as last set; a removed id matches nothing."""
+    store = _store(spark, sf_dir).set(2, "lang", "en").set(1, "lang", "xx").set(1, "lang", "yy").remove(4)
+    return store.matching(("eq", "lang", "en"))
+
+
+@query(f"WITH {_META} SELECT id, map_from_entries(list_filter([('lang', lang), ('source', source), ('n_chars', CAST(n_chars AS VARCHAR)), ('quality', CAST(quality AS VARCHAR)), ('toxic', CAST(toxic AS VARCHAR))], lambda e: e[2] IS NOT NULL))['n_chars'] AS n_chars, (lang IS NOT NULL)::INTEGER + (source IS NOT NULL)::INTEGER + (n_chars IS NOT NULL)::INTEGER + (quality IS NOT NULL)::INTEGER + (toxic IS NOT NULL)::INTEGER AS fields FROM m")
+def meta_fields(spark, sf_dir):
+    """All fields of every id as a map: one of them, and how many there are."""
+    maps = _store(spark, sf_dir).maps()
+    return maps.select("id", F.try_element_at("meta", F.lit("n_chars"))["int_val"].cast("string").alias("n_chars"), F.size("meta").alias("fields"))
 
 
 _FILTERED = _f32("euclidean", k=50)
@@ -265,6 +290,25 @@ def sharded_topk(spark, sf_dir):
     return rounded(ShardedCollection(_collection(spark, sf_dir), 8).search_batch(_plain_queries(spark, sf_dir), K))
 
 
+def _saved_shards(spark: SparkSession, sf_dir: str) -> ShardedCollection:
+    path = scratch_dir(spark, "shards")
+    ShardedCollection(_collection(spark, sf_dir), 8).save(path)
+    return ShardedCollection.load(spark, path)
+
+
+@query(_f32("dot_product"))
+def sharded_saved_topk(spark, sf_dir):
+    saved = _saved_shards(spark, sf_dir)
+    flat = FlatCollection(saved.flat.points, saved.flat.tombstones, DIM, "dot_product")
+    return rounded(ShardedCollection(flat, 8).search_batch(_plain_queries(spark, sf_dir), K))
+
+
+@query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings WHERE vec_id = 11")
+def sharded_point_lookup(spark, sf_dir):
+    """From one shard's folder."""
+    return _saved_shards(spark, sf_dir).lookup(11).select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+
+
 # K-means and inverted files.
 
 _PLAIN = "p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings)"
@@ -306,6 +350,18 @@ def kmeans_fit(spark, sf_dir):
     return found.assignments.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
 
+@query("SELECT CAST(8 AS BIGINT) AS clusters, count(*) AS points, TRUE AS settled, TRUE AS nearest FROM embeddings")
+def kmeans_invariants(spark, sf_dir):
+    """Of a fit: clusters with rows, rows, whether a further step moves the centroids little, and whether rows lie nearest to their own."""
+    p = _collection(spark, sf_dir).points
+    found = kmeans(p, KMeansConfig(k=8, max_iterations=60), seed=42)
+    moved, _ = step(p, found.centroids)
+    again = assign(p, found.centroids).select("id", F.col("cluster_id").alias("own")).join(found.assignments, "id")
+    settled = bool(np.sqrt(((moved - found.centroids) ** 2).sum()) < 0.05)
+    out = again.agg(F.countDistinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("points"), (F.avg((F.col("own") == F.col("cluster_id")).cast("int")) > 0.97).alias("nearest"))
+    return out.select("clusters", "points", F.lit(settled).alias("settled"), "nearest")
+
+
 def _label_means(spark: SparkSession, sf_dir: str) -> np.ndarray:
     """A centroid for each of the ten labels: the mean of its vectors."""
     e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
@@ -359,6 +415,28 @@ def ivf_topk_dot_product(spark, sf_dir):
     return rounded(IVFIndex(DIM, 10, "dot_product", index.centroids, index.postings, index.tombstones).search_batch(_plain_queries(spark, sf_dir), K, nprobe=3))
 
 
+def _trained_ivf(spark: SparkSession, sf_dir: str) -> IVFIndex:
+    """Trained, filled, saved by cluster, and loaded again."""
+    p, path = _collection(spark, sf_dir).points, scratch_dir(spark, "ivf")
+    IVFIndex.create(spark, DIM, 8).train(p, KMeansConfig(k=8, max_iterations=10)).add_batch(p).save(path)
+    return IVFIndex.load(spark, path)
+
+
+@query(_f32("euclidean"))
+def ivf_trained_topk(spark, sf_dir):
+    """All clusters probed: as exact as the flat search."""
+    return rounded(_trained_ivf(spark, sf_dir).search_batch(_plain_queries(spark, sf_dir), K, nprobe=8))
+
+
+@query("SELECT count(*) AS live, TRUE AS few_read, TRUE AS itself_first FROM embeddings WHERE vec_id <> 9")
+def ivf_saved_probe(spark, sf_dir):
+    """One point deleted; a search of one cluster compares fewer rows than there are, and finds the query itself first."""
+    index = _trained_ivf(spark, sf_dir).delete(9)
+    q = _collection(spark, sf_dir).get_vector(0)
+    first = index.search(q, 1, nprobe=1).first()
+    return spark.createDataFrame([(len(index), index.nprobe_coverage(q, 1) < len(index), first.id == 0)], "live long, few_read boolean, itself_first boolean")
+
+
 # Product quantisation: the codebooks are the subvectors of the first 16 rows.
 
 
@@ -392,10 +470,11 @@ _ADC = f"WITH {_CODES}, t AS (SELECT id AS qid, m, k, gap FROM g WHERE id % 50 =
 
 @query(f"{_ADC} SELECT id, round(score, 6) AS score FROM s WHERE qid = 0")
 def pq_adc(spark, sf_dir):
-    books, p = _books(spark, sf_dir), _collection(spark, sf_dir).points
-    q = list(p.where("id = 0").first().vector)
-    coded = p.select("id", books.encode_column(F.col("vector").cast("array<double>")).alias("code"))
-    return coded.select("id", F.round(books.adc_column(q, "code"), 6).alias("score"))
+    """The distances of one query to every code."""
+    c = _collection(spark, sf_dir)
+    books = _books(spark, sf_dir)
+    coded = c.points.select("id", books.encode_column(F.col("vector").cast("array<double>")).alias("code"))
+    return coded.select("id", F.round(books.adc_column(c.get_vector(0), "code"), 6).alias("score"))
 
 
 def _ivfpq(spark: SparkSession, sf_dir: str) -> IVFPQIndex:
@@ -406,11 +485,13 @@ def _ivfpq(spark: SparkSession, sf_dir: str) -> IVFPQIndex:
 @query(f"""WITH {_CODES}, u AS (SELECT label AS k, i, avg(v[i]) AS x FROM p, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), c AS (SELECT k, list(x ORDER BY i) AS v FROM u GROUP BY k),
 o AS (SELECT p.id, c.k, row_number() OVER (PARTITION BY p.id ORDER BY {_GAP}, c.k) AS n FROM p, c),
 t AS (SELECT id AS qid, m, k, gap FROM g WHERE id % 50 = 0),
-s AS (SELECT x.id AS qid, y.id, sum(t.gap) AS score FROM o x JOIN o y ON x.id % 50 = 0 AND x.n <= 3 AND y.n = 1 AND x.k = y.k JOIN e ON e.id = y.id JOIN t ON t.qid = x.id AND t.m = e.m AND t.k = e.k GROUP BY 1, 2)
-SELECT qid, CAST(place AS INTEGER) AS place, score FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6), id) AS place, round(score, 6) AS score FROM s) WHERE place <= 10""")
+s AS (SELECT x.id AS qid, y.id, list_sum(list(t.gap ORDER BY t.m)) AS score FROM o x JOIN o y ON x.id % 50 = 0 AND x.n <= 3 AND y.n = 1 AND x.k = y.k JOIN e ON e.id = y.id JOIN t ON t.qid = x.id AND t.m = e.m AND t.k = e.k GROUP BY 1, 2)
+SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s) WHERE rank <= 10""")
 def ivfpq_topk(spark, sf_dir):
-    found = _ivfpq(spark, sf_dir).search_batch(_plain_queries(spark, sf_dir), K, nprobe=3)
-    return found.select("qid", F.col("rank").alias("place"), F.round("score", 6).alias("score"))
+    """Written by cluster and read again; a search opens the folders of the clusters that it probes."""
+    path = scratch_dir(spark, "ivfpq")
+    _ivfpq(spark, sf_dir).save(path)
+    return rounded(IVFPQIndex.load(spark, path).search_batch(_plain_queries(spark, sf_dir), K, nprobe=3))
 
 
 @query("SELECT CAST(count(*) * 8 + 10 * 64 * 4 + 8 * 16 * 8 * 4 AS BIGINT) AS bytes FROM embeddings")
@@ -423,6 +504,19 @@ def pq_train(spark, sf_dir):
     return train_pq(_collection(spark, sf_dir).points, PQConfig(8, 16, 10)).to_table(spark)
 
 
+@query("SELECT 8 AS m, 16 AS k, TRUE AS better_than_rows FROM (SELECT 1)")
+def pq_train_invariants(spark, sf_dir):
+    """Codebooks that were trained reproduce the vectors better than codebooks of the first rows do."""
+    p = _collection(spark, sf_dir).points
+
+    def error(books: Codebooks) -> float:
+        coded = p.select(F.col("vector").cast("array<double>").alias("v")).withColumn("d", books.decode_column(books.encode_column("v")))
+        return coded.agg(F.avg(V.squared_euclidean("v", "d"))).first()[0]
+
+    books = train_pq(p, PQConfig(8, 16, 10))
+    return spark.createDataFrame([(books.m, books.k, error(books) < error(_books(spark, sf_dir)))], "m int, k int, better_than_rows boolean")
+
+
 # Small-world graphs.
 
 
@@ -432,13 +526,36 @@ def hnsw_topk(spark, sf_dir):
     return rounded(index.search_batch(_plain_queries(spark, sf_dir), K, ef=100))
 
 
+@query("SELECT vec_id AS qid, CAST(10 AS BIGINT) AS rows, TRUE AS itself_first, TRUE AS in_order, TRUE AS most_found FROM embeddings WHERE vec_id % 50 = 0")
+def hnsw_invariants(spark, sf_dir):
+    """Half of the rows built, the others inserted, saved and loaded: rows found, the query itself first, scores in order, and 8 of the 10 nearest."""
+    p, path, q = _collection(spark, sf_dir).points, scratch_dir(spark, "hnsw"), _plain_queries(spark, sf_dir)
+    index = HnswIndex.create(spark, DIM, "euclidean", HnswConfig(16, 100, 64)).insert_batch(p.where("id % 2 = 0")).insert_batch(p.where("id % 2 = 1"))
+    index.save(path)
+    found = HnswIndex.load(spark, path).search_batch(q, K, ef=200)
+    recall = E.recall_table(found, search_batch(p, q, K), K)
+    facts = found.groupBy("qid").agg(F.count(F.lit(1)).alias("rows"), (F.min_by("id", "rank") == F.col("qid")).alias("itself_first"), F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("s"))
+    in_order = F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.col("s")[i]["score"] >= F.col("s")[i - 1]["score"])
+    return facts.join(recall, "qid").select("qid", "rows", "itself_first", in_order.alias("in_order"), (F.col("recall") >= 0.8).alias("most_found"))
+
+
+@query("SELECT count(*) AS nodes, TRUE AS bounded, TRUE AS entries_top FROM embeddings")
+def hnsw_structure(spark, sf_dir):
+    """Nodes; whether no node has more links than 2 m (layer 0) and m; whether walks start on each shard's highest layer."""
+    index = HnswIndex.create(spark, DIM, "euclidean", HnswConfig(8, 32, 32)).insert_batch(_collection(spark, sf_dir).points)
+    nodes = index.nodes()
+    bounded = F.forall("neighbours", lambda links: F.size(links) <= 16) & F.forall(F.slice("neighbours", 2, 64), lambda links: F.size(links) <= 8)
+    tops = nodes.groupBy("shard").agg(F.max("max_layer").alias("top")).join(index.entry_points(), "shard").agg(F.bool_and(F.col("top") == F.col("max_layer")).alias("entries_top"))
+    return nodes.agg(F.count(F.lit(1)).alias("nodes"), F.bool_and(bounded).alias("bounded")).crossJoin(tops)  # one row each
+
+
 @query()
 def hnsw_layers(spark, sf_dir):
     index = HnswIndex.create(spark, DIM, "euclidean", HnswConfig(8, 32, 32)).insert_batch(_collection(spark, sf_dir).points)
     return index.max_layer_distribution()
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(floor(-ln(least(1.0, greatest(CAST(l_discount AS DOUBLE), 1.1920928955078125e-07))) * (1 / ln(16))) AS INTEGER) AS layer FROM lineitem WHERE l_orderkey < 1000")
+@query("SELECT l_orderkey, l_linenumber, CAST(floor(-ln(least(1.0, greatest(CAST(l_discount AS DOUBLE), 1.1920928955078125e-07))) * (1 / ln(16))) AS INTEGER) AS layer FROM lineitem")
 def hnsw_layer_draw(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", layer_column("l_discount", 16).alias("layer"))
 
@@ -488,17 +605,56 @@ def wal_replay(spark, sf_dir):
     return latest_points(_ops(spark, sf_dir)).select("id", F.round(F.col("vector")[0].cast("double"), 4).alias("x"))
 
 
-@query(f"WITH {_OPS}, {_LAST} SELECT id, round(CAST(vector[1] AS DOUBLE), 4) AS x FROM l WHERE n = 1 AND op <> 'delete'")
+def _engine(spark: SparkSession) -> tuple[Engine, str]:
+    root = scratch_dir(spark, "engine")
+    return Engine(spark, root), root
+
+
+@query("SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 4) AS x FROM embeddings WHERE vec_id <> 2 UNION ALL SELECT 1000000, 0.5")
 def checkpoint_recover(spark, sf_dir):
-    ops = _ops(spark, sf_dir)
-    snapshot = latest_points(ops.where("seq < 500")).select(F.lit(499).alias("seq"), F.lit("insert").alias("op"), "id", "vector")
-    return latest_points(snapshot.unionByName(ops.where("seq >= 500"))).select("id", F.round(F.col("vector")[0].cast("double"), 4).alias("x"))
+    """A batch, a delete, a checkpoint, a batch and a point after it; another engine reads snapshot and log anew."""
+    engine, root = _engine(spark)
+    p = _collection(spark, sf_dir).points
+    engine.create_collection("c", DIM, "flat")
+    engine.insert_batch("c", p.where("id % 2 = 0"))
+    engine.delete("c", 2)
+    engine.checkpoint("c")
+    engine.insert_batch("c", p.where("id % 2 = 1"))
+    engine.insert("c", 1_000_000, [0.5] * DIM)
+    return Engine(spark, root).points("c").select("id", F.round(F.col("vector")[0].cast("double"), 4).alias("x"))
 
 
-@query("SELECT label AS name, 64 AS dim, 'flat' AS index_type, count(*) AS vector_count FROM (SELECT 'c' || label AS label FROM embeddings) GROUP BY label")
+@query("SELECT * FROM (VALUES ('even', 64, 'flat', 'euclidean', 0), ('odd', 64, 'hnsw', 'cosine', 1)) t(name, dim, index_type, metric, r), LATERAL (SELECT count(*) AS vector_count FROM embeddings WHERE vec_id % 2 = t.r)".replace("SELECT *", "SELECT name, dim, index_type, metric, vector_count"))
 def catalog_list(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.groupBy(F.concat(F.lit("c"), F.col("label").cast("string")).alias("name")).agg(F.lit(64).alias("dim"), F.lit("flat").alias("index_type"), F.count(F.lit(1)).alias("vector_count")).orderBy("name")
+    """Two collections filled and a third one deleted."""
+    engine, _ = _engine(spark)
+    p = _collection(spark, sf_dir).points
+    for name, kind, metric, rest in (("even", "flat", "euclidean", 0), ("odd", "hnsw", "cosine", 1), ("gone", "flat", "euclidean", 0)):
+        engine.create_collection(name, DIM, kind, metric)
+        engine.insert_batch(name, p.where(F.col("id") % 2 == rest))
+    engine.delete_collection("gone")
+    failed = engine.checkpoint_all()
+    assert not failed, failed
+    return engine.list_collections()
+
+
+@query(_f32("euclidean", "WHERE q.qid = 0").replace("SELECT qid, CAST(rank", "SELECT CAST(rank"))
+def catalog_search(spark, sf_dir):
+    engine, _ = _engine(spark)
+    c = _collection(spark, sf_dir)
+    engine.create_collection("c", DIM, "flat")
+    engine.insert_batch("c", c.points)
+    engine.checkpoint("c")
+    return rounded(engine.search("c", c.get_vector(0), K))
+
+
+@query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings")
+def fvecs_roundtrip(spark, sf_dir):
+    """Written as fvecs files, the ids as ivecs, and read back."""
+    path, p = scratch_dir(spark, "vecs"), _collection(spark, sf_dir).points.repartitionByRange(2, "id").sortWithinPartitions("id")
+    vecs.write_vecs(p, f"{path}/f", "fvecs")
+    rows = vecs.read_vecs(spark, f"{path}/f", "fvecs").select(F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"), F.xxhash64("vector").alias("h"))
+    return p.select("id", F.xxhash64("vector").alias("h")).join(rows, "h").select("id", "vector")
 
 
 def letter_frequencies(texts: list[str]) -> list[list[float]]:
