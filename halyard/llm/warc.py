@@ -31,8 +31,8 @@ def _member(block: bytes) -> bytes:
 
 
 def _clean(value: str | None) -> str:
-    """A header value on one line."""
-    return " ".join((value or "").split())
+    """A header value on one line: line breaks as URLs write them, all else as it is."""
+    return (value or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
 def header_block(page_id: int | None, url: str | None, record_type: str, refers_to: int | None, size: int, sha1: str, sha256: str) -> bytes:
@@ -72,14 +72,20 @@ def _write(folder: str, kind: str):
 
 
 def _records(blob: bytes):
-    """The unpacked blocks of a file's gzip members."""
-    while blob:
-        z = zlib.decompressobj(31)
-        block = z.decompress(blob)
-        blob = z.unused_data if z.eof else b""
-        if not z.eof:
-            raise ValueError("an archive file ends within a record")
-        yield block
+    """The unpacked blocks of a file's gzip members.
+
+    A member is fed piece by piece, so what lies behind it is looked at, and copied, by a piece only.
+    """
+    view, at = memoryview(blob), 0
+    while at < len(view):
+        z, parts, step = zlib.decompressobj(31), [], 2048
+        while not z.eof:
+            piece = view[at : at + step]
+            if not len(piece):
+                raise ValueError("an archive file ends within a record")
+            parts.append(z.decompress(piece))
+            at, step = at + len(piece) - len(z.unused_data), min(4 * step, 1 << 20)
+        yield parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
@@ -169,6 +175,16 @@ def read_archive(spark: SparkSession, folder: str, manifests: dict[str, DataFram
     return heads.join(bodies if payloads else bodies.drop("payload"), "sha256")
 
 
+def rebuild_records(spark: SparkSession, folder: str, manifests: dict[str, DataFrame]) -> DataFrame:
+    """(page_id, record): every record's bytes as a WARC file holds them, its exact header block and its payload put together.
+
+    A revisit has no body; its payload is that of the record it refers to.
+    """
+    end = F.lit(b"\r\n\r\n")
+    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return read_archive(spark, folder, manifests, payloads=True).select("page_id", F.concat("header", body, end).alias("record"))
+
+
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes the archive into the shared folder, reads it back and returns one row per record.
 
