@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -18,6 +19,8 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by the numpy kernels; bounds their temporary arrays.
 SLICE_BYTES = 1 << 20
+#: From this length on words are hashed one by one; shorter ones can't hold colliding patterns.
+LONG_WORD = 512
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -135,19 +138,32 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of the words data[start:end], A-Z lower-cased if asked.
 
-    A word's hash is its polynomial value over random byte values modulo 2**64, read off one running sum and
-    then finalised together with its length; equal words have equal hashes wherever they stand.
+    A word's hash is its polynomial value over random byte values modulo 2**64, read off a running sum over a bounded
+    piece of the text and then finalised together with its length; equal words have equal hashes wherever they stand.
+    Words of LONG_WORD bytes and more, for which such polynomials can be made to collide, have a BLAKE2 digest.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+    size, out = ends - starts, np.zeros(len(starts), np.uint64)
     values = _byte_values()
     values = values[_LOWER] if lower else values
+    short = np.flatnonzero(size < LONG_WORD)
+    s, e = (starts, ends) if len(short) == len(starts) else (starts[short], ends[short])
+    own, first = (out if s is starts else np.zeros(len(short), np.uint64)), 0
     with np.errstate(over="ignore"):
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=run[1:])
-        out = (run[ends] - run[starts]) * down[starts]
-        return mix(out + (ends - starts).astype(np.uint64) * _U(0xA0761D6478BD642F))
+        while first < len(s):
+            last = int(np.searchsorted(e, s[first] + SLICE_BYTES, "right"))
+            a, b = int(s[first]), int(e[last - 1])
+            up, down = _powers(1 << max(16, (b - a).bit_length()))
+            run = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(values[data[a:b]] * up[: b - a], out=run[1:])
+            own[first:last] = (run[e[first:last] - a] - run[s[first:last] - a]) * down[s[first:last] - a]
+            first = last
+        if own is not out:
+            out[short] = own
+        out = mix(out + size.astype(np.uint64) * _U(0xA0761D6478BD642F))
+    for i in np.flatnonzero(size >= LONG_WORD).tolist():
+        word = data[starts[i] : ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def trim() -> None:

@@ -82,7 +82,7 @@ def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c <= TOP, d[np.minimum(c, TOP)], 1.0)
 
 
-def _tokenise(n_buckets: int):
+def _tokenise(n_buckets: int, chunk_tokens: int):
     """Chunks: documents, token sequence over the chunk's own sorted vocabulary, and the questions for it."""
 
     def run(batches):
@@ -116,7 +116,7 @@ def _tokenise(n_buckets: int):
                 h = np.insert(word_hashes(part, starts, ends), np.cumsum(per), END)
                 held.append((h, per + 1, held_out[a:b].astype(bool), batch.column(0).slice(a, b - a)))
                 n += len(h)
-                if n >= CHUNK_TOKENS:
+                if n >= chunk_tokens:
                     yield from close()
                     held, n = [], 0
         if held:
@@ -284,6 +284,14 @@ def _sum_pairs(know: Numbers):
     return run
 
 
+def _spread_rows(pdfs):
+    """(head, s): what each bucket knows of the first words that are spread over the buckets."""
+    for pdf in pdfs:
+        for b, c in zip(pdf.b, pdf.c, strict=True):
+            heads = _unpack(b)
+            yield pd.DataFrame({"head": heads, "s": list(_unpack(c).reshape(-1, TOP + 1))})
+
+
 def _score(know: Numbers, d2: np.ndarray, shared: dict[int, np.ndarray], train_docs: int):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(left.iloc[0], right[right.kind == "token"], know)
@@ -325,7 +333,7 @@ def _score(know: Numbers, d2: np.ndarray, shared: dict[int, np.ndarray], train_d
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Trains on the documents whose crc32(doc_id) mod `modulus` is not `held` and scores all of them.
 
     Returns one row per input row: doc_id, held_out, n_tokens (words and one end), n_known (tokens that occur in
@@ -335,8 +343,8 @@ def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFr
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", modulus) == held).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.select(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    n_buckets = max(8, -(-((size[0] or 0) // 6 + size[1]) // BUCKET_TOKENS))
-    chunks = materialise(rows.mapInArrow(_tokenise(n_buckets), _SCHEMA), "chunks", "kind")
+    n_buckets = max(8, -(-((size[0] or 0) // 6 + size[1]) // bucket_tokens))
+    chunks = materialise(rows.mapInArrow(_tokenise(n_buckets, chunk_tokens), _SCHEMA), "chunks", "kind")
     texts, questions = chunks.where("kind = 'text'"), chunks.where("kind = 'question'").select("chunk", "bucket", "a", "b")
     tokens = materialise(questions.groupBy("bucket").applyInPandas(_sum_tokens, "kind string, chunk long, bucket int, a binary, b binary, c binary"), "tokens", "kind")
     totals = tokens.where("kind = 'totals'")
@@ -350,12 +358,15 @@ def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFr
     texts = texts.select("chunk", "a", "b", "c", "d", "e")
     pairs = texts.groupBy("chunk").cogroup(token_answers.groupBy("chunk")).applyInPandas(_ask_pairs(know), "chunk long, bucket int, u binary, w binary, n binary, cw binary, spread binary")
     summed = materialise(pairs.groupBy("bucket").applyInPandas(_sum_pairs(know), "kind string, chunk long, bucket int, a binary, b binary, c binary"), "pairs", "kind")
-    numbers, shared = np.zeros(TOP + 2), {}
-    # At most SPREAD * buckets + 1 first words are spread, so this is bounded by the number of buckets.
-    for r in sorted(summed.where("kind = 'totals'").select("bucket", "a", "b", "c").collect()):
+    pair_totals = summed.where("kind = 'totals'")
+    numbers = np.zeros(TOP + 2)
+    for r in pair_totals.select("a").collect():
         numbers[1:] += _unpack(bytes(r.a))
-        for head, s in zip(_unpack(bytes(r.b)).tolist(), _unpack(bytes(r.c)).reshape(-1, TOP + 1), strict=True):
-            shared[head] = shared.get(head, 0) + s
+    # A spread word has a row in each bucket; they are added up by word before they reach the driver, which then gets at
+    # most SPREAD * buckets + 1 rows. Sorted sums are the same on every run.
+    whole = [F.aggregate(F.array_sort(F.collect_list(F.col("s")[i])), F.lit(0.0), lambda x, y: x + y) for i in range(TOP + 1)]
+    heads = pair_totals.select("b", "c").mapInPandas(_spread_rows, "head long, s array<double>").groupBy("head").agg(F.array(*whole).alias("s"))
+    shared = {r["head"]: np.array(r.s) for r in heads.collect()}
     pair_answers = summed.where("kind = 'answer'").select("chunk", "bucket", "a", "b", "c")
     answers = token_answers.withColumn("c", F.lit(None).cast("binary")).withColumn("kind", F.lit("token")).unionByName(pair_answers.withColumn("kind", F.lit("pair")))
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_score(know, discounts(numbers), shared, train_docs), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -22,6 +22,8 @@ from halyard.llm._common import ROW_KEY, materialise, text_buffer, text_slices,
 
 BLOCK = 16
 SHARD_DOCS = 2_000
+#: Shards of one band.
+BAND = 4_096
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 SEED = "mix"
@@ -160,14 +162,21 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, own:
     doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     place = sized.join(sources.select(F.col("source").alias("s"), "rank", "source_size", "target", "shards"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     place = place.withColumn("shard", _hash(F.lit("shard"), doc_key) % F.col("shards"))
-    of_shard = place.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size")).join(sources.select("rank", "quota"), "rank")
+    of_shard = place.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"))
+    of_shard = materialise(of_shard.withColumn("blocks", F.ceil(F.lit(2) * F.col("shard_size") / block)).withColumn("band", F.floor(F.col("shard") / BAND)), "shards")
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard", kind="stable")
-        blocks = -(-2 * pdf.shard_size // block)
-        return pdf[["rank", "shard"]].assign(shard_size=pdf.shard_size, blocks=blocks, quota=apportion(pdf.shard_size.to_numpy(), int(pdf.quota.iloc[0]), blocks.to_numpy()))
+    def deal(key: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(key, kind="stable")
+            return pdf.assign(quota=apportion(pdf.shard_size.to_numpy(), int(pdf.quota.iloc[0]), pdf.blocks.to_numpy()))
 
-    quotas = of_shard.groupBy("rank").applyInPandas(deal, "rank long, shard long, shard_size long, blocks long, quota long")
+        return run
+
+    # A source's blocks go to bands of BAND shards, a band's to its shards: no call holds more than a source's bands or a band.
+    bands = of_shard.groupBy("rank", "band").agg(F.sum("shard_size").alias("shard_size"), F.sum("blocks").alias("blocks")).join(sources.select("rank", "quota"), "rank")
+    bands = bands.groupBy("rank").applyInPandas(deal("band"), "rank long, band long, shard_size long, blocks long, quota long").select("rank", "band", "quota")
+    shards = of_shard.join(bands, ["rank", "band"]).select("rank", "band", "shard", "shard_size", "blocks", "quota")
+    quotas = shards.groupBy("rank", "band").applyInPandas(deal("shard"), "rank long, band long, shard long, shard_size long, blocks long, quota long").drop("band")
     quotas = quotas.withColumn("first", _hash(F.lit("first"), F.col("rank").cast("string"), F.col("shard").cast("string")) % F.greatest("blocks", F.lit(1)))
     line = place.join(quotas, ["rank", "shard"])
     order = Window.partitionBy("rank", "shard").orderBy(_hash(F.lit("order"), doc_key), "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)

@@ -140,14 +140,14 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> dict[s
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     headers = materialise(rows.mapInArrow(_digests, "page_id long, url string, size long, sha1 string, sha256 string"), "digests")
-    last = headers.groupBy("sha256").agg(F.max("page_id").alias("last"))
-    typed = headers.join(last, "sha256")
+    # Written before it meets the records: a payload with very many records is then split over tasks by adaptive execution.
+    only = materialise(headers.groupBy("sha256").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")), "payloads")
+    typed = headers.join(only, "sha256")
     revisit = (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last"))
     typed = typed.select("page_id", "url", "size", "sha1", "sha256", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
     # One row of the table stands for each payload; its bytes are read again, not shuffled.
     keys = rows.select("page_id", "payload", F.sha2("payload", 256).alias("sha256"))
-    only = headers.groupBy("sha256").agg(F.max("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
-    repeated = only.where("n > 1").select("sha256", F.col("page_id").alias("stands"), F.lit(True).alias("again"))
+    repeated = only.where("n > 1").select("sha256", F.col("last").alias("stands"), F.lit(True).alias("again"))
     # Payloads of one record need no join; of repeated ones, the rows with the largest page_id go on (null, if no page has one).
     marked = keys.join(repeated if repeated.count() > BROADCAST_DIGESTS else F.broadcast(repeated), "sha256", "left").where("again IS NULL OR page_id <=> stands")
     first = marked.where("again IS NULL").select("sha256", "payload").union(marked.where("again").groupBy("sha256").agg(F.min("payload").alias("payload")))
