@@ -34,12 +34,12 @@ def _exact(y: np.ndarray) -> np.ndarray:
     return np.array([int(v) for v in y.ravel()], object).reshape(y.shape)
 
 
-def _products_fit(x: np.ndarray, q: np.ndarray) -> bool:
-    """Whether every inner product of rows of x and q, and every partial sum of one, is a 64-bit integer."""
+def _product_bits(x: np.ndarray, q: np.ndarray) -> int:
+    """Bits that every inner product of rows of x and q, and every partial sum of one, fits in (without sign)."""
     if x.dtype == object or q.dtype == object:
-        return False
+        return 1 << 20
     top = [int(np.abs(a).max()) if a.size else 0 for a in (x, q)]
-    return x.shape[1] * top[0] * top[1] < 1 << 63
+    return (x.shape[1] * top[0] * top[1]).bit_length()
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -96,8 +96,11 @@ def build(x: np.ndarray, ids: np.ndarray) -> bytes:
 def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int, stats: dict[str, int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query row: its number and the ids and scores of its k best vectors of other ids."""
     xi, qi = quantise(tree["x"]), quantise(q)
-    exact = _products_fit(xi, qi)
-    if not exact:
+    bits = _product_bits(xi, qi)
+    exact = bits <= 63
+    if bits <= 53:  # doubles hold all of these integers, and multiply faster
+        xi, qi = xi.astype(float), qi.astype(float)
+    elif not exact:
         xi, qi = _exact(xi), _exact(qi)
         np.seterr(over="ignore", invalid="ignore")
     xf, qf = np.floor(tree["x"] * 1024.0), np.floor(q * 1024.0)
@@ -119,8 +122,15 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, qids: np.ndarray, k: int,
                 live = a + np.flatnonzero(~((qq + sq[a:b] - low**2) / 2 + slack < floor) & (ids[a:b] != qids[r]))
                 computed += len(live)
                 if len(live):
-                    own = xi[live] @ qi[r] if exact else np.array([max(-_LONG - 1, min(_LONG, v)) for v in xi[live] @ qi[r]], object)
-                    s, i = np.concatenate([kept_s, own]), np.concatenate([kept_i, ids[live]])
+                    rows = slice(a, b) if len(live) == b - a else live
+                    own = xi[rows] @ qi[r] if exact else np.array([max(-_LONG - 1, min(_LONG, v)) for v in xi[rows] @ qi[r]], object)
+                    new = ids[live]
+                    if len(kept_s) == k:
+                        hit = np.flatnonzero(own >= kept_s[-1])
+                        if not len(hit):
+                            continue
+                        own, new = own[hit], new[hit]
+                    s, i = np.concatenate([kept_s, own]), np.concatenate([kept_i, new])
                     order = best(s, i, k) if exact else np.array(sorted(range(len(s)), key=lambda t: (-s[t], i[t]))[:k], int)
                     kept_s, kept_i = s[order], i[order]
                     floor = float(kept_s[-1]) if len(kept_s) == k else floor
