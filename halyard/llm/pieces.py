@@ -245,7 +245,7 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
 
     Returns one row per input row: doc_id, n_pieces, pieces_crc32 (of the ids as little-endian unsigned 32-bit
     integers), decoded_bytes, round_trip (the decoded text is the text), and, if asked for, pieces. Null texts are
-    empty: no ids. A text that holds the blank mark U+2581 itself decodes to blanks there, as with the library.
+    empty: no ids; null and repeated ids are rows of their own, and an empty table gives no rows. A text that holds the blank mark U+2581 itself decodes to blanks there, as with the library.
     """
 
     def run(batches):
