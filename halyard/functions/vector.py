@@ -75,6 +75,27 @@ def normalize(a: Column | str) -> Column:
     return F.when(norm == 0, F.transform(_col(a), lambda x: x.cast("double"))).otherwise(F.transform(_col(a), lambda x: x.cast("double") / norm))
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    y = x * F.lit(10.0**digits)
+    n = F.rint(y)
+    out = F.when(F.abs(y - n) == 0.5, y + F.signum(y) * 0.5).otherwise(n) / F.lit(10.0**digits)
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
+def round_all(array: Column | str, digits: int) -> Column:
+    """Every double of an array as SQL engines over C round it: the product with a power of ten, halves away from zero.
+
+    Spark's round() goes by the decimal digits instead: it has no -0.0, and takes 4.1744875 up although its product is
+    below the half.
+    """
+    return F.transform(_col(array), lambda x: _rounded(x.cast("double"), digits))
+
+
+def round_to(value: Column | str, digits: int) -> Column:
+    """One double, rounded as by round_all; it is computed once."""
+    return F.element_at(round_all(F.array(_col(value)), digits), 1)
+
+
 def score(metric: str, a: Column | str, b: Column | str) -> Column:
     return {"euclidean": euclidean_distance, "cosine": cosine_similarity, "dot_product": dot_product}[metric_name(metric)](a, b)
 

@@ -653,7 +653,7 @@ def fvecs_roundtrip(spark, sf_dir):
     """Written as fvecs files, the ids as ivecs, and read back."""
     path, p = scratch_dir(spark, "vecs"), _collection(spark, sf_dir).points.repartitionByRange(2, "id").sortWithinPartitions("id")
     vecs.write_vecs(p, f"{path}/f", "fvecs")
-    rows = vecs.read_vecs(spark, f"{path}/f", "fvecs").select(F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"), F.xxhash64("vector").alias("h"))
+    rows = vecs.read_vecs(spark, f"{path}/f", "fvecs").select(V.round_all("vector", 6).alias("vector"), F.xxhash64("vector").alias("h"))
     return p.select("id", F.xxhash64("vector").alias("h")).join(rows, "h").select("id", "vector")
 
 
