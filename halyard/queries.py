@@ -67,7 +67,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumn("score", F.round("score", digits))
+    return df.withColumn("score", V.round_to("score", digits))
 
 
 def _sql(metric: str, where: str = "", k: int = K, order: str | None = None, more: str = "") -> str:
@@ -80,19 +80,19 @@ def _sql(metric: str, where: str = "", k: int = K, order: str | None = None, mor
 
 @query(f"WITH {_P} SELECT id, round({_NORM.format('v')}, 6) AS l2, round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1 FROM p")
 def vec_norms(spark, sf_dir):
-    return points(spark, sf_dir).select("id", F.round(V.l2_norm("vector"), 6).alias("l2"), F.round(V.l1_norm("vector"), 6).alias("l1"))
+    return points(spark, sf_dir).select("id", V.round_to(V.l2_norm("vector"), 6).alias("l2"), V.round_to(V.l1_norm("vector"), 6).alias("l1"))
 
 
 @query(f"WITH {_P} SELECT id, list_transform(v, lambda x: round(x / {_NORM.format('v')}, 6)) AS unit FROM p")
 def vec_normalize(spark, sf_dir):
-    return points(spark, sf_dir).select("id", F.transform(V.normalize("vector"), lambda x: F.round(x, 6)).alias("unit"))
+    return points(spark, sf_dir).select("id", V.round_all(V.normalize("vector"), 6).alias("unit"))
 
 
 @query(f"WITH {_P} SELECT q.id, round({_SCORES['dot_product']}, 6) AS dot, round({_SCORES['euclidean']}, 6) AS l2, round({_SCORES['cosine']}, 6) AS cosine, round(power({_SCORES['euclidean']}, 2), 5) AS squared FROM p q JOIN p ON p.id = q.id + 1")
 def vec_pair_scores(spark, sf_dir):
     p = points(spark, sf_dir)
     both = p.toDF("id", "a").join(p.select((F.col("id") - 1).alias("id"), F.col("vector").alias("b")), "id")
-    return both.select("id", F.round(V.dot_product("a", "b"), 6).alias("dot"), F.round(V.euclidean_distance("a", "b"), 6).alias("l2"), F.round(V.cosine_similarity("a", "b"), 6).alias("cosine"), F.round(V.squared_euclidean("a", "b"), 5).alias("squared"))
+    return both.select("id", V.round_to(V.dot_product("a", "b"), 6).alias("dot"), V.round_to(V.euclidean_distance("a", "b"), 6).alias("l2"), V.round_to(V.cosine_similarity("a", "b"), 6).alias("cosine"), V.round_to(V.squared_euclidean("a", "b"), 5).alias("squared"))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0")
@@ -191,7 +191,8 @@ def flat_compact_count(spark, sf_dir):
 @query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings WHERE vec_id = 7")
 def flat_point_lookup(spark, sf_dir):
     found = _collection(spark, sf_dir).get_vector(7)
-    return spark.createDataFrame([] if found is None else [(7, [round(x, 6) for x in found])], "id long, vector array<double>")
+    held = spark.createDataFrame([] if found is None else [(7, found)], "id long, vector array<double>")
+    return held.select("id", V.round_all("vector", 6).alias("vector"))
 
 
 # Metadata.
@@ -306,7 +307,7 @@ def sharded_saved_topk(spark, sf_dir):
 @query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings WHERE vec_id = 11")
 def sharded_point_lookup(spark, sf_dir):
     """From one shard's folder."""
-    return _saved_shards(spark, sf_dir).lookup(11).select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+    return _saved_shards(spark, sf_dir).lookup(11).select("id", V.round_all("vector", 6).alias("vector"))
 
 
 # K-means and inverted files.
@@ -331,7 +332,7 @@ def _steps(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
     for _ in range(rounds):
         c, n = step(p, c)
     sizes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "cluster_id int, size long")
-    return centroid_table(spark, c).join(sizes, "cluster_id").select("cluster_id", "size", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return centroid_table(spark, c).join(sizes, "cluster_id").select("cluster_id", "size", V.round_all("centroid", 6).alias("centroid"))
 
 
 @query(_kmeans_sql(1))
@@ -462,7 +463,7 @@ def pq_encode(spark, sf_dir):
 def pq_decode(spark, sf_dir):
     books = _books(spark, sf_dir)
     p = _collection(spark, sf_dir).points.select("id", books.encode_column(F.col("vector").cast("array<double>")).alias("code"))
-    return p.select("id", F.transform(books.decode_column("code"), lambda x: F.round(x, 6)).alias("vector"))
+    return p.select("id", V.round_all(books.decode_column("code"), 6).alias("vector"))
 
 
 _ADC = f"WITH {_CODES}, t AS (SELECT id AS qid, m, k, gap FROM g WHERE id % 50 = 0), s AS (SELECT t.qid, e.id, sum(t.gap) AS score FROM e JOIN t ON t.m = e.m AND t.k = e.k GROUP BY 1, 2)"
@@ -474,7 +475,7 @@ def pq_adc(spark, sf_dir):
     c = _collection(spark, sf_dir)
     books = _books(spark, sf_dir)
     coded = c.points.select("id", books.encode_column(F.col("vector").cast("array<double>")).alias("code"))
-    return coded.select("id", F.round(books.adc_column(c.get_vector(0), "code"), 6).alias("score"))
+    return coded.select("id", V.round_to(books.adc_column(c.get_vector(0), "code"), 6).alias("score"))
 
 
 def _ivfpq(spark: SparkSession, sf_dir: str) -> IVFPQIndex:
@@ -572,13 +573,13 @@ def recall_at_k(spark, sf_dir):
 @query("SELECT round(avg(s), 6) AS mean_s, round(median(s), 6) AS median_s, round(stddev_samp(s), 6) AS stddev_s, round(avg(q), 6) AS mean_qps, round(median(q), 6) AS median_qps, stddev_samp(s) > 0.2 * avg(s) AS high_variance FROM (SELECT s, 100 / s AS q FROM (SELECT value AS s FROM events WHERE value > 0))")
 def timing_summary(spark, sf_dir):
     out = E.summarize_timings(table(spark, sf_dir, "events").where("value > 0").select(F.col("value").alias("seconds")), 100)
-    return out.select(*(F.round(c, 6).alias(c) for c in out.columns[:-1]), "high_variance")
+    return out.select(*(V.round_to(c, 6).alias(c) for c in out.columns[:-1]), "high_variance")
 
 
 @query("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
 def latency_percentiles(spark, sf_dir):
     out = E.latency_percentiles(table(spark, sf_dir, "events").select(F.col("value").alias("seconds")))
-    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+    return out.select(*(V.round_to(c, 6).alias(c) for c in out.columns))
 
 
 @query("""WITH s AS (SELECT * FROM (VALUES (1.0, 0.40, 2000.0), (5.0, 0.80, 1000.0), (10.0, 0.92, 600.0)) t(param, recall, qps)),
@@ -586,7 +587,7 @@ n AS (SELECT *, lead(param) OVER w AS p2, lead(recall) OVER w AS r2, lead(qps) O
 SELECT 0.9::DOUBLE AS recall, round(qps + (0.9 - recall) / (r2 - recall) * (q2 - qps), 6)::DOUBLE AS qps, round(param + (0.9 - recall) / (r2 - recall) * (p2 - param), 6)::DOUBLE AS param, 'linear_interpolation' AS method FROM n WHERE recall <= 0.9 AND r2 >= 0.9""")
 def iso_recall(spark, sf_dir):
     out = E.iso_recall(spark.createDataFrame([(1, 0.40, 2000.0), (5, 0.80, 1000.0), (10, 0.92, 600.0)], "param int, recall double, qps double"), 0.9)
-    return out.select("recall", F.round("qps", 6).alias("qps"), F.round("param", 6).alias("param"), "method")
+    return out.select("recall", V.round_to("qps", 6).alias("qps"), V.round_to("param", 6).alias("param"), "method")
 
 
 # The operation log: events are operations on users; purchases delete.
@@ -602,7 +603,7 @@ def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OPS}, {_LAST} SELECT id, round(CAST(vector[1] AS DOUBLE), 4) AS x FROM l WHERE n = 1 AND op <> 'delete'")
 def wal_replay(spark, sf_dir):
-    return latest_points(_ops(spark, sf_dir)).select("id", F.round(F.col("vector")[0].cast("double"), 4).alias("x"))
+    return latest_points(_ops(spark, sf_dir)).select("id", V.round_to(F.col("vector")[0], 4).alias("x"))
 
 
 def _engine(spark: SparkSession) -> tuple[Engine, str]:
@@ -621,7 +622,7 @@ def checkpoint_recover(spark, sf_dir):
     engine.checkpoint("c")
     engine.insert_batch("c", p.where("id % 2 = 1"))
     engine.insert("c", 1_000_000, [0.5] * DIM)
-    return Engine(spark, root).points("c").select("id", F.round(F.col("vector")[0].cast("double"), 4).alias("x"))
+    return Engine(spark, root).points("c").select("id", V.round_to(F.col("vector")[0], 4).alias("x"))
 
 
 @query("SELECT * FROM (VALUES ('even', 64, 'flat', 'euclidean', 0), ('odd', 64, 'hnsw', 'cosine', 1)) t(name, dim, index_type, metric, r), LATERAL (SELECT count(*) AS vector_count FROM embeddings WHERE vec_id % 2 = t.r)".replace("SELECT *", "SELECT name, dim, index_type, metric, vector_count"))

@@ -48,6 +48,7 @@ def test_round_to(spark, digits):
     assert df.select(V.round_to(F.lit(None).cast("double"), 6).alias("r")).first().r is None
 
 
-def test_fvecs_roundtrip(spark, small):
-    got, want = both(spark, small, "fvecs_roundtrip")
+@pytest.mark.parametrize("name", ["fvecs_roundtrip", "vec_normalize", "sharded_point_lookup", "flat_point_lookup", "vec_pair_scores"])
+def test_sign_of_zero(spark, small, name):
+    got, want = both(spark, small, name)
     assert got == want
