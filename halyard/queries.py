@@ -651,11 +651,10 @@ def catalog_search(spark, sf_dir):
 
 @query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings")
 def fvecs_roundtrip(spark, sf_dir):
-    """Written as fvecs files, the ids as ivecs, and read back."""
-    path, p = scratch_dir(spark, "vecs"), _collection(spark, sf_dir).points.repartitionByRange(2, "id").sortWithinPartitions("id")
-    vecs.write_vecs(p, f"{path}/f", "fvecs")
-    rows = vecs.read_vecs(spark, f"{path}/f", "fvecs").select(V.round_all("vector", 6).alias("vector"), F.xxhash64("vector").alias("h"))
-    return p.select("id", F.xxhash64("vector").alias("h")).join(rows, "h").select("id", "vector")
+    """Written as fvecs files, the ids as ivecs, and both read back."""
+    path, p = scratch_dir(spark, "vecs"), _collection(spark, sf_dir).points
+    vecs.write_vecs(p.repartitionByRange("id").sortWithinPartitions("id"), f"{path}/f", "fvecs", ids=f"{path}/i")
+    return vecs.read_vecs_with_ids(spark, f"{path}/f", f"{path}/i").select("id", V.round_all("vector", 6).alias("vector"))
 
 
 def letter_frequencies(texts: list[str]) -> list[list[float]]:
