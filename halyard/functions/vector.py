@@ -159,3 +159,26 @@ def score_matrix(metric: str, queries: np.ndarray, points: np.ndarray) -> np.nda
         with np.errstate(divide="ignore", invalid="ignore"):
             out = np.where(norms == 0, 0.0, out / norms)
     return out
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from left to right as SQL and the Column forms do: equal rows have equal sums wherever they stand."""
+    return np.add.accumulate(x, 1)[:, -1] + 0.0 if x.shape[1] else np.zeros(len(x))
+
+
+def row_norms(x: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.sqrt(row_sums(x * x))
+
+
+def score_pairs(metric: str, a: np.ndarray, b: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+    """The score of each row of a with the same row of b; for cosine, `norms` are the products of their norms."""
+    metric = metric_name(metric)
+    with np.errstate(all="ignore"):
+        if metric == "euclidean":
+            return row_norms(a - b)
+        out = row_sums(a * b)
+        if metric == "cosine":
+            norms = row_norms(a) * row_norms(b) if norms is None else norms
+            out = np.where(norms == 0, 0.0, out / norms)
+        return out
