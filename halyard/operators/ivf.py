@@ -165,27 +165,25 @@ class IVFIndex:
 
 
 def _scan_clusters(postings: DataFrame, qids: np.ndarray, queries: np.ndarray, wanted: dict[int, list[int]], k: int, metric: str) -> DataFrame:
-    """Each task's k best for each query among the rows of the clusters that it probes."""
+    """Each task's k best for each query among the rows of each cluster that it probes."""
     import pyarrow as pa
 
-    from halyard.functions.vector import matrix, score_matrix
-    from halyard.operators.topk import best_columns
+    from halyard.functions.vector import matrix
+    from halyard.operators.search import Nearest
 
-    largest, dim = larger_is_better(metric), queries.shape[1]
+    dim = queries.shape[1]
 
     def run(batches):
-        kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids)
+        best: dict[int, Nearest] = {}
         for batch in batches:
             ids, clusters, x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), matrix(batch.column(1), dim)
             for c in np.unique(clusters).tolist():
-                rows = np.flatnonzero(clusters == c)
-                own = wanted.get(c, [])
-                scores = score_matrix(metric, queries[own], x[rows])
-                for i, s in zip(own, scores, strict=True):
-                    a, b = np.concatenate([kept[i][0], ids[rows]]), np.concatenate([kept[i][1], s])
-                    order = best_columns(b, a, k, largest)
-                    kept[i] = (a[order], b[order])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(a) for a, _ in kept])), pa.array(np.concatenate([a for a, _ in kept])), pa.array(np.concatenate([b for _, b in kept]))], ["qid", "id", "score"])
+                if c in wanted:
+                    rows = np.flatnonzero(clusters == c)
+                    best.setdefault(c, Nearest(metric, queries[wanted[c]], k)).add(ids[rows], x[rows])
+        for c, found in best.items():
+            rows, ids, scores = found.best()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[np.array(wanted[c])[rows]]), pa.array(ids), pa.array(scores)], ["qid", "id", "score"])
 
     rows = postings.where(F.col("cluster_id").isin(list(wanted))) if wanted else postings.limit(0)
     return rows.select("id", F.col("vector").cast("array<double>"), "cluster_id").mapInArrow(run, "qid long, id long, score double")
